@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import quality as quality_model
+from quillon.llm import toxicity as toxicity_model
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.scratch import table
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = toxicity_model.held_out()
+    out = toxicity_model.toxicity(docs, toxicity_model.fit(docs, labels, ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = quality_model.held_out()
+    out = quality_model.quality(docs, quality_model.fit(docs, labels, ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
