@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import langid
 from quillon.llm import quality as quality_model
 from quillon.llm import toxicity as toxicity_model
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.scratch import table
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    out = langid.language_id(docs, langid.fit(docs, ~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = toxicity_model.held_out()
