@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import langid
+from quillon.llm import langid, pieces
 from quillon.llm import quality as quality_model
 from quillon.llm import toxicity as toxicity_model
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.scratch import table
 
 
+#: Where the public tokenizers' files are; each query takes another folder as a parameter.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    model = pieces.read_model(f"{tokenizers}/piece_bpe_32k.model")
+    return pieces.encode(table(spark, sf_dir, "documents"), model).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out()
