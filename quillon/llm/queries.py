@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import langid, pieces
+from quillon.llm import chat, langid, pieces, token_counts
 from quillon.llm import quality as quality_model
 from quillon.llm import toxicity as toxicity_model
 from quillon.llm.exact_dedup import exact_dedup
@@ -22,6 +23,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENI
     return pieces.encode(table(spark, sf_dir, "documents"), model).select("doc_id", "n_tokens", "ids_sha256", "round_trip")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    with open(f"{tokenizers}/byte_bpe_50k.tiktoken", "rb") as f:
+        vocabulary = f.read()
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, rules=token_counts.REDACTIONS)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out()
@@ -47,6 +54,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", "role_out", "action", "inserted", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
