@@ -34,6 +34,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Ids from here on stand for single characters that are no piece, until they are written as bytes.
 CHARS = 1 << 24
+#: Places of the table of pairs that were worked out.
+PAIR_BITS = 22
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,9 +97,10 @@ class Model:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.split = re.compile(rf"(?s).+" if inner else rf"{SPACE}*[^{SPACE}{hard}]+|{SPACE}+" + (f"|[{hard}]" if hard else ""))
         self._sort_keys()
-        self.apart: dict[int, bool] = {}
+        self.pair_keys, self.pair_apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.cache: dict[str, bytes] = {}
-        self.cache_limit = 300_000
+        self.older: dict[str, bytes] = {}
+        self.cache_limit = 400_000
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)]
 
     def _sort_keys(self) -> None:
@@ -132,23 +135,28 @@ class Model:
         return parts
 
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
-        """For each before << 26 | after: whether the two stay apart when merged alone; before is CHARS - 1 at the start."""
-        found, where = np.unique(pairs, return_inverse=True)
-        out = np.empty(len(found), bool)
-        apart = self.apart
-        if len(apart) > 4_000_000:
-            apart.clear()
-        for k, key in enumerate(found.tolist()):
-            ok = apart.get(key)
-            if ok is None:
+        """For each before << 26 | after: whether the two stay apart when merged alone; before is CHARS - 1 at the start.
+
+        Answers are kept in a table with one place for each hash; a pair that finds another there is worked out again."""
+        at = (mix(pairs.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.pair_apart[at]
+        new = np.flatnonzero(self.pair_keys[at] != pairs)
+        if len(new):
+            found, where = np.unique(pairs[new], return_inverse=True)
+            apart = np.empty(len(found), bool)
+            for k, key in enumerate(found.tolist()):
                 before, after = key >> 26, key & ((1 << 26) - 1)
                 a, b = "" if before == CHARS - 1 else self.name(before), self.name(after)
-                ok = apart[key] = self.merged(a + b) == ([a, b] if a else [b])
-            out[k] = ok
-        return out[where]
+                apart[k] = self.merged(a + b) == ([a, b] if a else [b])
+            out[new] = apart[where]
+            place = (mix(found.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            self.pair_keys[place], self.pair_apart[place] = -1, False
+            place, first = np.unique(place, return_index=True)  # of pairs with one place the first is kept
+            self.pair_keys[place], self.pair_apart[place] = found[first], apart[first]
+        return out
 
-    def solve(self, words: list[str]) -> list[list[int]]:
-        """The ids of words that all have one length."""
+    def solve(self, words: list[str]) -> list[bytes]:
+        """The ids of words that all have one length, as little-endian int32."""
         n, size = len(words), len(words[0])
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
         reach = min(self.longest, size)
@@ -176,14 +184,20 @@ class Model:
                 worth = np.where(some >= 0, best[:, end - span] + own, -np.inf)
             pick = worth.argmax(1)
             best[:, end], last[:, end], back[:, end] = worth[rows, pick], some[rows, pick], span[pick]
-        out = []
-        for w, (ends, steps) in enumerate(zip(last.tolist(), back.tolist())):
-            path, end = [], size
-            while end:
-                path.append(ends[end])
-                end -= steps[end]
-            out.append(path[::-1])
-        return out
+        path, used = np.zeros((n, size), np.int64), np.zeros((n, size), bool)
+        at, going = np.full(n, size), rows
+        for k in range(size - 1, -1, -1):
+            path[going, k], used[going, k] = last[going, at], True
+            at = at - back[going, at]
+            going, at = going[at > 0], at[at > 0]
+            if not len(going):
+                break
+        flat, counts = path[used], used.sum(1)
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        data = flat.astype("<i4").tobytes()
+        odd = set(np.flatnonzero(((path >= CHARS) & used).any(1)).tolist())
+        bounds = cuts.tolist()
+        return [data[4 * a : 4 * b] if w not in odd else self.written(flat[a:b].tolist()) for w, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
 
     def written(self, path: list[int]) -> bytes:
         """Ids as little-endian int32; characters that are no piece become byte pieces, or the unknown id."""
@@ -202,10 +216,14 @@ class Model:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian int32; none for null and empty texts."""
         split = [self.split.findall((SPACE * self.dummy + t).replace(" ", SPACE)) if t else [] for t in texts]
-        missing = set().union(*split).difference(self.cache)
+        words = set().union(*split)
+        missing = words.difference(self.cache)
         if len(self.cache) + len(missing) > self.cache_limit:
-            self.cache.clear()
-            missing = set().union(*split)
+            self.cache, self.older = {}, self.cache
+            missing = words
+        for w in missing & self.older.keys():
+            self.cache[w] = self.older[w]
+        missing = missing.difference(self.cache)
         by: dict[int, list[str]] = {}
         for w in missing:
             by.setdefault(len(w), []).append(w)
@@ -213,7 +231,7 @@ class Model:
             step = max(1, 100_000 // size)
             for at in range(0, len(words), step):
                 part = words[at : at + step]
-                self.cache.update(zip(part, map(self.written, self.solve(part))))
+                self.cache.update(zip(part, self.solve(part)))
         get = self.cache.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
