@@ -11,6 +11,7 @@ from quillon.llm import chat, langid, pieces, token_counts
 from quillon.llm import quality as quality_model
 from quillon.llm import toxicity as toxicity_model
 from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.near_dedup import near_dedup
 from quillon.llm.scratch import table
 
 
@@ -59,6 +60,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "role_out", "action", "inserted", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
