@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.llm import chat, langid, pieces, token_counts
 from quillon.llm import quality as quality_model
 from quillon.llm import toxicity as toxicity_model
+from quillon.llm.decontaminate import contaminated
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.near_dedup import near_dedup
 from quillon.llm.scratch import table
@@ -60,6 +61,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "role_out", "action", "inserted", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start", "n_words")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
