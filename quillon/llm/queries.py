@@ -12,6 +12,7 @@ from quillon.llm import quality as quality_model
 from quillon.llm import toxicity as toxicity_model
 from quillon.llm.decontaminate import contaminated
 from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.lm_scoring import lm_scores
 from quillon.llm.near_dedup import near_dedup
 from quillon.llm.scratch import table
 
@@ -45,6 +46,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str, target_source: str = "src3") -> DataFrame:
+    """The target is one source's documents, as a curated source would be."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_scores(docs, F.col("source") == target_source)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = quality_model.held_out()
