@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,16 @@ def features_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str,
     return [(y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, y, i, v in rows]
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, score: Callable[[str], float]) -> DataFrame:
-    """doc_id and score of every row of docs; score is pickled with what it closes over, so that must be bounded."""
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def score_of(text: Column, score: Callable[[str], float]) -> Column:
+    """The score of a text column; score is pickled with what it closes over, so that must be bounded."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [score(t.as_py() or "") for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([score(t or "") for t in texts], dtype="float64")
 
-    return some.mapInArrow(run, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, score double")
+    return run(text)
+
+
+def scored(docs: DataFrame, id_col: str, text_col: str, score: Callable[[str], float]) -> DataFrame:
+    """doc_id and score of every row of docs."""
+    return docs.select(F.col(id_col).alias("doc_id"), score_of(F.col(text_col), score).alias("score"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.labelled import features_of, fold, sample_ids, scored
+from quillon.llm.labelled import features_of, fold, sample_ids, score_of, scored
 from quillon.llm.textcode import Coded, mix, pieces
 
 
@@ -98,6 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id"
     return ftrl(features_of(docs, sample_ids(labels, id_col, label_col, keep, settings.per_class), id_col, text_col, encode(settings)), settings)
 
 
+def score_column(text: Column, model: tuple[np.ndarray, np.ndarray, float], settings: Settings = Settings()) -> Column:
+    """The toxicity score of a text column."""
+    return score_of(text, scorer(model, settings))
+
+
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= threshold) for each row of docs.
 
