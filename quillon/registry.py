@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,16 @@ def add(name: str, query: Query, sql: str | None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    for module in ("tpch", "relational", "scalar", "streams"):
+        importlib.import_module(f"quillon.suite.{module}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
