@@ -18,7 +18,7 @@ def read(spark: SparkSession, path: str, schema: str, files_per_trigger: int | N
 
 def tumbling(events: DataFrame, time: str, size: str, keys: Sequence[str] = (), late: str | None = None, slide: str | None = None, **aggregates: Column) -> DataFrame:
     """Aggregates by window of time (sliding if slide is given); late: how long rows are waited for, on a stream."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp_ltz"))
     timed = timed.withWatermark(time, late) if late else timed
     window = F.window(time, size, slide) if slide else F.window(time, size)
     out = timed.groupBy(window.alias("w"), *keys).agg(*(e.alias(n) for n, e in aggregates.items()))
@@ -28,7 +28,7 @@ def tumbling(events: DataFrame, time: str, size: str, keys: Sequence[str] = (),
 
 def sessions(events: DataFrame, time: str, gap: str, keys: Sequence[str], late: str | None = None, **aggregates: Column) -> DataFrame:
     """Aggregates by session: a key's rows with no gap between them."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp_ltz"))
     timed = timed.withWatermark(time, late) if late else timed
     out = timed.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*(e.alias(n) for n, e in aggregates.items()))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), *keys, *aggregates)
@@ -36,4 +36,4 @@ def sessions(events: DataFrame, time: str, gap: str, keys: Sequence[str], late:
 
 def deduplicated(events: DataFrame, keys: Sequence[str], time: str, late: str) -> DataFrame:
     """The first row of each key; state is dropped after the watermark."""
-    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([*keys])
+    return events.withColumn(time, F.col(time).cast("timestamp_ltz")).withWatermark(time, late).dropDuplicatesWithinWatermark([*keys])
