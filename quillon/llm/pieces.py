@@ -35,7 +35,7 @@ UNKNOWN_PENALTY = 10.0
 #: Ids from here on stand for single characters that are no piece, until they are written as bytes.
 CHARS = 1 << 24
 #: Places of the table of pairs that were worked out.
-PAIR_BITS = 22
+PAIR_BITS = 20
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,7 +100,7 @@ class Model:
         self.pair_keys, self.pair_apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.cache_limit = 400_000
+        self.cache_limit = 100_000
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)]
 
     def _sort_keys(self) -> None:
@@ -228,7 +228,7 @@ class Model:
         for w in missing:
             by.setdefault(len(w), []).append(w)
         for size, words in by.items():
-            step = max(1, 100_000 // size)
+            step = max(1, 50_000 // size)
             for at in range(0, len(words), step):
                 part = words[at : at + step]
                 self.cache.update(zip(part, self.solve(part)))
@@ -282,8 +282,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 texts = part.column("text").to_pylist()
                 coded = m.encode(texts)
                 same = [m.decode(c) == (t or "").replace(SPACE, " ") for c, t in zip(coded, texts)]
