@@ -89,5 +89,40 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+OP9_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), 5) AS n FROM iw WHERE len(w) > 0),
+q AS (SELECT item_id, n, len(w) - n + 1 AS k, unnest(generate_series(1, len(w) - n + 1)) AS q, w FROM i),
+it AS (SELECT item_id, n, k, q, w[q:q + n - 1] AS sh FROM q),
+itc AS (SELECT item_id, sh, count(*) AS c FROM it GROUP BY ALL),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+dn AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM dw, (SELECT DISTINCT n FROM i)),
+pos AS (SELECT doc_id, n, p, w[p:p + n - 1] AS sh FROM dn),
+place AS (SELECT DISTINCT doc_id, item_id, n, k, greatest(p - q, 0) + 1 AS s FROM pos JOIN it USING (n, sh)),
+near AS (SELECT DISTINCT doc_id, n FROM place),
+part AS (SELECT pos.* FROM pos JOIN near USING (doc_id, n)),
+win AS (SELECT doc_id, item_id, n, k, s, sh, count(*) AS c FROM place JOIN part USING (doc_id, n) WHERE p BETWEEN s AND s + k - 1 GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, n, k, s, sum(win.c) AS size, sum(least(win.c, coalesce(itc.c, 0))) AS common FROM win LEFT JOIN itc USING (item_id, sh) GROUP BY ALL),
+best AS (SELECT doc_id, item_id, common / (k + size - common) AS similarity, s - 1 AS start, k + n - 1 AS n_words FROM sim
+         QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / (k + size - common) DESC, s) = 1)
+SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS INTEGER) AS start, CAST(n_words AS INTEGER) AS n_words FROM best WHERE similarity >= 0.8
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(len(ws) - 3, 1) END)) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, ws[i:i + 3] AS sh FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, y FROM reach JOIN edge ON r = x),
+comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, documents.doc_id) AS component_id, documents.doc_id = coalesce(comp.c, documents.doc_id) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op10_near_dedup": OP10_SQL}
