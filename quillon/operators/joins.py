@@ -28,15 +28,17 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
 def mark_join(left: DataFrame, right: DataFrame, mark: str, on: Column | Sequence[str]) -> DataFrame:
     """left with a boolean column: whether right has a match.
 
-    With key names, right's distinct keys are joined once; with a condition, matches are found by a left
-    semi join whose rows are marked, so left's rows are never multiplied."""
+    With key names, right's distinct keys are joined once; with a condition, the distinct rows of left that
+    have a match are, so left's rows are never multiplied, and nothing depends on the order of rows."""
     if not isinstance(on, Column):
         keys = right.select(*on).distinct().withColumn(mark, F.lit(True))
         return left.join(keys, [*on], "left_outer").withColumn(mark, F.coalesce(mark, F.lit(False)))
-    tag = "__mark_id"
-    tagged = left.withColumn(tag, F.monotonically_increasing_id())
-    hit = tagged.join(right, on, "left_semi").select(F.col(tag).alias("__hit"))
-    return tagged.join(hit, F.col(tag) == F.col("__hit"), "left_outer").withColumn(mark, F.col("__hit").isNotNull()).drop(tag, "__hit")
+    hit = left.join(right, on, "left_semi").distinct().toDF(*(f"__hit{k}" for k in range(len(left.columns)))).withColumn("__hit", F.lit(True))
+    same = F.lit(True)
+    for k, c in enumerate(left.columns):
+        same = same & left[c].eqNullSafe(F.col(f"__hit{k}"))
+    joined = left.join(hit, same, "left_outer")
+    return joined.select(*(left[c] for c in left.columns), F.coalesce("__hit", F.lit(False)).alias(mark))
 
 
 def single_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -57,6 +59,6 @@ def salted(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int, kin
     """For a known hot key: left's rows are dealt over salts parts and right's are copied to each (inner, left, semi, anti)."""
     if kind not in ("inner", "left", "semi", "anti"):
         raise ValueError("right's rows are copied, so kinds that keep them cannot be salted")
-    a = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    a = left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))  # the same when a task is run again
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, "__salt"], SPARK[kind]).drop("__salt")
