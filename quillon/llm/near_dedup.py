@@ -33,7 +33,8 @@ class Settings:
     depth: int = 12  # values of a tree's order
     least: int = 3  # common values that make a candidate
     reach: int = 48  # largest region all of whose pairs are candidates, and the furthest neighbours in the order
-    close: int = 3  # neighbours in denser regions
+    close: int = 2  # neighbours in denser regions
+    first: int = 3  # candidates of each node, the most alike, that are confirmed first
     alike: int = 5  # equal values of a tree's that a candidate has at least
     spread: float = 6.0  # in dense regions: standard errors below the threshold at which a signature still counts
     side: int = 1024  # nodes of a block there
@@ -89,7 +90,7 @@ def first_of(id_col: str) -> Column:
 
 
 def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
-    """a < b and alike (equal values) of the neighbours in each tree's order; and a and region of each node in a dense region.
+    """a < b, alike (equal values) and dense of the neighbours in each tree's order; and a and region of each node in a dense region.
 
     Nodes with one key come in another order in each tree, so that their neighbours are others."""
     width = 2 * s.depth
@@ -105,7 +106,7 @@ def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
     for r in sorted(sizes):
         starts[r.part], before = before, before + r.n
     if not starts:
-        return spark.createDataFrame([], "a long, b long, alike int, region long")
+        return spark.createDataFrame([], "a long, b long, alike int, dense boolean, region long")
     known = spark.createDataFrame([*starts.items()], "part long, start long")
     ranks = rows.withColumn("part", part).join(F.broadcast(known), "part").select("nid", "tree", "key", (row + F.col("start")).alias("rank"))
     block = (F.col("rank") / s.block).cast("long")
@@ -131,15 +132,15 @@ def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
                 break
             same = (keys[i] == keys[i + o]).sum(1)
             i, same = i[same >= s.alike], same[same >= s.alike]
-            found.append((np.minimum(nid[i], nid[i + o]), np.maximum(nid[i], nid[i + o]), same))
-        a, b, alike = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [])
+            found.append((np.minimum(nid[i], nid[i + o]), np.maximum(nid[i], nid[i + o]), same, region[i] > s.reach))
+        a, b, alike, crowded = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [], [])
         dense = np.flatnonzero((region > s.reach) & (np.arange(len(pdf)) < own))
         with np.errstate(over="ignore"):
             name = mix(mix(keys[dense, : s.least].astype(np.uint64) + np.uint64(1)) @ (np.uint64(3) ** np.arange(s.least, dtype=np.uint64)) + tree[dense].astype(np.uint64)).view(np.int64)
-        told = pd.DataFrame({"a": a, "b": b, "alike": alike, "region": pd.array([None] * len(a), "Int64")})
-        return pd.concat([told, pd.DataFrame({"a": nid[dense], "b": pd.array([None] * len(dense), "Int64"), "alike": 0, "region": name})]) if len(dense) else told
+        told = pd.DataFrame({"a": a, "b": b, "alike": alike, "dense": crowded, "region": pd.array([None] * len(a), "Int64")})
+        return pd.concat([told, pd.DataFrame({"a": nid[dense], "b": pd.array([None] * len(dense), "Int64"), "alike": 0, "dense": True, "region": name})]) if len(dense) else told
 
-    return blocks.groupBy("block").applyInPandas(pairs, "a long, b long, alike int, region long")
+    return blocks.groupBy("block").applyInPandas(pairs, "a long, b long, alike int, dense boolean, region long")
 
 
 def sets_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -167,7 +168,7 @@ def alike_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are alike enough."""
-    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), nodes, docs, s)
+    full = sets_of(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct(), nodes, docs, s)
     both = pairs.select("a", "b").join(full.select(F.col("nid").alias("a"), F.col("u").alias("ua")), "a").join(full.select(F.col("nid").alias("b"), F.col("u").alias("ub")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +205,12 @@ def across(members: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFra
     for _ in range(3):
         placed = cut(placed, "dense")
         by_node = placed.groupBy("nid").agg(F.min("region").alias("least"))
-        joined = placed.join(by_node, "nid")
-        by_region = joined.groupBy("region").agg(F.min("least").alias("least"))
+        by_region = cut(placed.join(by_node, "nid").groupBy("region").agg(F.min("least").alias("least")), "regions")
         placed = placed.join(by_region, "region").select("nid", F.col("least").alias("region"), "label").distinct()
     placed = cut(placed, "dense")
     sizes = placed.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
     mixed = sizes.where("parts > 1").select("region", F.col("main.label").alias("main"), F.ceil(F.col("n") / s.side).cast("int").alias("m"), F.ceil((F.col("n") - F.col("main.n")) / s.side).cast("int").alias("o"))
+    mixed = cut(mixed, "mixed")  # a table: both sides of the join are then exchanges, which AQE can split
     rows = cut(placed.join(mixed, "region"), "mixed")
     full = sets_of(rows.select("nid").distinct(), nodes, docs, s).join(nodes.select("nid", "sig"), "nid")
     rows = cut(rows.join(full, "nid"), "mixed")
@@ -246,14 +247,15 @@ def linked(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Components of the nodes that have a partner: nid, label."""
     weights = nodes.select("nid", F.struct("rep.no_id", "rep.id", "rep.th", "nid").alias("w"))
     made = cut(candidates(nodes, s), "candidates")
-    pairs = made.where("region IS NULL").groupBy("a", "b").agg(F.sum("alike").alias("alike"))
-    best = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("e"), "a", "b", "alike").groupBy("e.x").agg(F.max(F.struct("alike", "a", "b")).alias("p"))
+    pairs = made.where("region IS NULL").groupBy("a", "b").agg(F.sum("alike").alias("alike"), F.min("dense").alias("dense"))
+    either = pairs.select(F.col("a").alias("x"), F.struct("alike", "a", "b").alias("p")).union(pairs.select("b", F.struct("alike", "a", "b")))
+    best = either.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, s.first).alias("ps")).select(F.explode("ps").alias("p"))
     links = cut(confirmed(cut(best.select("p.a", "p.b").distinct(), "best"), nodes, docs, s), "links")
     found = components(links, weights)
 
     la, lb = (found.select(F.col("nid").alias(x), F.col("label.nid").alias(f"l{x}")) for x in ("a", "b"))
-    both = pairs.select("a", "b").join(la, "a", "left").join(lb, "b", "left")
-    rest = cut(both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")  # the others can't change a component
+    both = pairs.where("NOT dense").select("a", "b").join(la, "a", "left").join(lb, "b", "left")
+    rest = cut(both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")  # the others can't change a component; what dense regions leave comes last
     for ask in (lambda: confirmed(rest, nodes, docs, s), lambda: across(made.where("region IS NOT NULL").select(F.col("a").alias("nid"), "region").distinct(), found, nodes, docs, s)):
         more = cut(ask(), "links")
         if more.limit(1).count():
