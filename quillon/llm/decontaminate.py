@@ -84,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = text.select("doc_id", "th", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     found = [_matches(hashed, items.where(F.col("n") == n), n, hint, similarity, radius) for n in sizes]
     if not found:
-        nothing = items.select("item_id").limit(0)
-        return text.limit(0).select("doc_id", "th").crossJoin(nothing).select("doc_id", "th", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("hamming"))
+        kind = items.schema["item_id"].dataType
+        return text.limit(0).select("doc_id", "th", F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0).alias("hamming"))
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), F.col("n_words"), (-F.col("hamming")).alias("h"))).alias("b")
     every = reduce(DataFrame.unionByName, found).groupBy("doc_id", "th", "item_id").agg(best)
     return every.select("doc_id", "th", "item_id", "b.similarity", (-F.col("b.back")).alias("start"), "b.n_words", (-F.col("b.h")).alias("hamming"))
