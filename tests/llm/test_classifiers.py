@@ -70,3 +70,10 @@ def test_odd_rows(spark):
         empty = m.fit(docs(spark, []), labels.limit(0), F.lit(True))
         assert [r.score for r in out(docs(spark, ["a b"]), empty).collect()] == [0.5]
         assert out(docs(spark, []), model).count() == 0
+
+
+def test_folds_are_crc32_of_the_id_as_text(spark):
+    import zlib
+
+    got = spark.range(300).select("id", labelled.fold("id", 5).alias("a"), labelled.fold("id", 4).alias("b")).collect()
+    assert all((r.a, r.b) == (zlib.crc32(str(r.id).encode()) % 5, zlib.crc32(str(r.id).encode()) % 4) for r in got)
