@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.scratch import cut
+from quillon.llm.scratch import cut, settled
 from quillon.llm.textcode import mix, shingles, word_hashes
 
 
@@ -246,21 +246,21 @@ def across(members: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFra
 def linked(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Components of the nodes that have a partner: nid, label."""
     weights = nodes.select("nid", F.struct("rep.no_id", "rep.id", "rep.th", "nid").alias("w"))
-    made = cut(candidates(nodes, s), "candidates")
+    made = settled(lambda: candidates(nodes, s), "candidates")
     pairs = made.where("region IS NULL").groupBy("a", "b").agg(F.sum("alike").alias("alike"), F.min("dense").alias("dense"))
     either = pairs.select(F.col("a").alias("x"), F.struct("alike", "a", "b").alias("p")).union(pairs.select("b", F.struct("alike", "a", "b")))
     best = either.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, s.first).alias("ps")).select(F.explode("ps").alias("p"))
-    links = cut(confirmed(cut(best.select("p.a", "p.b").distinct(), "best"), nodes, docs, s), "links")
-    found = components(links, weights)
+    links = settled(lambda: confirmed(cut(best.select("p.a", "p.b").distinct(), "best"), nodes, docs, s), "links")
+    found = settled(lambda: components(links, weights), "components")
 
     la, lb = (found.select(F.col("nid").alias(x), F.col("label.nid").alias(f"l{x}")) for x in ("a", "b"))
     both = pairs.where("NOT dense").select("a", "b").join(la, "a", "left").join(lb, "b", "left")
     rest = cut(both.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "rest")  # the others can't change a component; what dense regions leave comes last
     for ask in (lambda: confirmed(rest, nodes, docs, s), lambda: across(made.where("region IS NOT NULL").select(F.col("a").alias("nid"), "region").distinct(), found, nodes, docs, s)):
-        more = cut(ask(), "links")
+        more = settled(ask, "links")
         if more.limit(1).count():
             links = links.unionByName(more)
-            found = components(links, weights)
+            found = settled(lambda: components(links, weights), "components")
     return found
 
 
@@ -275,11 +275,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     s = settings
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(coded(plain, s), "signatures")
-    each = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(first_of("doc_id")).alias("rep"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
-    nodes = cut(each.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    found = linked(nodes, plain, s)
-    grouped = nodes.join(found, "nid", "left").where("copies > 1 OR label IS NOT NULL")
-    named = cut(grouped.select("node", F.when(F.col("label").isNull(), F.col("rep.id")).otherwise(F.col("label.id")).alias("component_id"), F.lit(True).alias("several")), "named")
+
+    def names() -> DataFrame:
+        each = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(first_of("doc_id")).alias("rep"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
+        nodes = cut(each.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+        grouped = nodes.join(linked(nodes, plain, s), "nid", "left").where("copies > 1 OR label IS NOT NULL")
+        return grouped.select("node", F.when(F.col("label").isNull(), F.col("rep.id")).otherwise(F.col("label.id")).alias("component_id"), F.lit(True).alias("several"))
+
+    named = settled(names, "named")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
