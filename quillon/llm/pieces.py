@@ -35,7 +35,7 @@ UNKNOWN_PENALTY = 10.0
 #: Ids from here on stand for single characters that are no piece, until they are written as bytes.
 CHARS = 1 << 24
 #: Places of the table of pairs that were worked out.
-PAIR_BITS = 20
+PAIR_BITS = 21
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -100,7 +100,7 @@ class Model:
         self.pair_keys, self.pair_apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.cache_limit = 100_000
+        self.cache_limit = 200_000
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)]
 
     def _sort_keys(self) -> None:
@@ -120,9 +120,9 @@ class Model:
     def name(self, i: int) -> str:
         return chr(i - CHARS) if i >= CHARS else self.pieces[i]
 
-    def merged(self, text: str) -> list[str]:
-        """The symbols of text after merging, best score first and of equals the leftmost, until no pair is a piece."""
-        parts, ids, scores = list(text), self.ids, self.scores
+    def stay_apart(self, a: str, b: str) -> bool:
+        """Whether merging a + b gives the symbols a and b: best score first and of equals the leftmost, until no pair is a piece."""
+        parts, border, ids, scores = [*a, *b], len(a), self.ids, self.scores
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -131,8 +131,11 @@ class Model:
                     best, at = scores[i], k
             if at < 0:
                 break
+            if at == border - 1 and a:
+                return False  # this merge takes from both
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            border -= at < border
+        return parts == ([a, b] if a else [b])
 
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
         """For each before << 26 | after: whether the two stay apart when merged alone; before is CHARS - 1 at the start.
@@ -147,7 +150,7 @@ class Model:
             for k, key in enumerate(found.tolist()):
                 before, after = key >> 26, key & ((1 << 26) - 1)
                 a, b = "" if before == CHARS - 1 else self.name(before), self.name(after)
-                apart[k] = self.merged(a + b) == ([a, b] if a else [b])
+                apart[k] = self.stay_apart(a, b)
             out[new] = apart[where]
             place = (mix(found.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
             self.pair_keys[place], self.pair_apart[place] = -1, False
@@ -228,7 +231,7 @@ class Model:
         for w in missing:
             by.setdefault(len(w), []).append(w)
         for size, words in by.items():
-            step = max(1, 50_000 // size)
+            step = max(1, 100_000 // size)
             for at in range(0, len(words), step):
                 part = words[at : at + step]
                 self.cache.update(zip(part, self.solve(part)))
@@ -282,8 +285,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for at in range(0, b.num_rows, 400):
+                part = b.slice(at, 400)
                 texts = part.column("text").to_pylist()
                 coded = m.encode(texts)
                 same = [m.decode(c) == (t or "").replace(SPACE, " ") for c, t in zip(coded, texts)]
