@@ -92,12 +92,12 @@ FROM n WINDOW w AS (PARTITION BY t)
 OP9_SQL = r"""
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark),
 i AS (SELECT item_id, w, least(len(w), 5) AS n FROM iw WHERE len(w) > 0),
-q AS (SELECT item_id, n, len(w) - n + 1 AS k, unnest(generate_series(1, len(w) - n + 1)) AS q, w FROM i),
-it AS (SELECT item_id, n, k, q, w[q:q + n - 1] AS sh FROM q),
+il AS (SELECT item_id, n, len(w) - n + 1 AS k, list_transform(generate_series(1, len(w) - n + 1), lambda x: array_to_string(w[x:x + n - 1], ' ')) AS l FROM i),
+it AS (SELECT item_id, n, k, unnest(l) AS sh, generate_subscripts(l, 1) AS q FROM il),
 itc AS (SELECT item_id, sh, count(*) AS c FROM it GROUP BY ALL),
 dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
-dn AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM dw, (SELECT DISTINCT n FROM i)),
-pos AS (SELECT doc_id, n, p, w[p:p + n - 1] AS sh FROM dn),
+dl AS (SELECT doc_id, n, list_transform(generate_series(1, len(w) - n + 1), lambda x: array_to_string(w[x:x + n - 1], ' ')) AS l FROM dw, (SELECT DISTINCT n FROM i)),
+pos AS (SELECT doc_id, n, unnest(l) AS sh, generate_subscripts(l, 1) AS p FROM dl),
 place AS (SELECT DISTINCT doc_id, item_id, n, k, greatest(p - q, 0) + 1 AS s FROM pos JOIN it USING (n, sh)),
 near AS (SELECT DISTINCT doc_id, n FROM place),
 part AS (SELECT pos.* FROM pos JOIN near USING (doc_id, n)),
@@ -111,8 +111,7 @@ SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(generate_series(1, CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(len(ws) - 3, 1) END)) AS i FROM w),
-s AS (SELECT DISTINCT doc_id, ws[i:i + 3] AS sh FROM p),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(len(ws) - 3, 1) END), lambda i: array_to_string(ws[i:i + 3], ' '))) AS sh FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
