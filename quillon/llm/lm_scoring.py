@@ -3,9 +3,12 @@
 Two bigram models of one form, with one vocabulary, are counted: the target's on the texts that a rule
 picks, the background's on all texts. A document's score is its mean loss per token under the target model
 less that under the background model, in bits; low scores are like the target. A document that a model has
-counted is scored without its own counts. Counts cover the whole
-corpus: each task sums its own, and the sums meet in shuffles by key. What goes to the executors has a
-fixed size: the vocabulary's words (a parameter), and counts of word pairs hashed into 2**bits places.
+counted is scored without its own counts. Counts cover the whole corpus and are exact: every word and every
+(previous, word) pair has its own row in tables that grow with the input, and each document's distinct pairs
+meet them in a shuffle. Nothing but three totals goes to the driver or, whole, to the executors.
+
+Settings with a vocabulary and bits count in a fixed size instead: all words but the most frequent as one
+unknown word, and word pairs hashed into 2**bits places.
 """
 
 from __future__ import annotations
@@ -25,12 +28,16 @@ from quillon.llm.textcode import mix, word_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 50_000  # the most frequent words; all others are one unknown word
-    bits: int = 20  # word pairs are counted in 2**bits places
+    vocabulary: int | None = None  # the most frequent words, all others are one unknown word; None: every word, exactly
+    bits: int | None = None  # word pairs are counted in 2**bits places; None: every pair, exactly
     weight: float = 0.7  # of the pair's estimate; the rest is the single word's
     add: float = 0.5  # to each word's count
     flush: int = 300_000  # distinct words that a task holds before it passes their counts on
 
+    def __post_init__(self):
+        if (self.vocabulary is None) != (self.bits is None):
+            raise ValueError("vocabulary and bits go together")
+
 
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of the words (runs of letters and digits, lower case) of a text."""
@@ -130,9 +137,94 @@ class Model:
         self.total = self.single.sum()
 
 
-def fit(texts: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray, Model, Model]:
-    """Vocabulary words, target and background models, from all rows of texts (text, target)."""
+@dataclass
+class Counts:
+    """Exact counts of both models: all texts (n) and the target's (t)."""
+
+    pairs: DataFrame  # prev (null before the first word), word, n, t
+    words: DataFrame  # word, n, t
+    n: int
+    t: int
+    distinct: int
+
+    def of(self, asked: DataFrame) -> DataFrame:
+        """prev and word of asked (distinct) with the counts of the pair and of both words; 0 where nothing was counted."""
+        before = self.words.select(F.col("word").alias("prev"), F.col("n").alias("pn"), F.col("t").alias("pt"))
+        word = self.words.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
+        if asked is not self.pairs:
+            pairs = self.pairs.select(F.col("prev").alias("p"), F.col("word").alias("w"), "n", "t")
+            asked = asked.join(pairs, F.col("prev").eqNullSafe(F.col("p")) & (F.col("word") == F.col("w")), "left").drop("p", "w")
+        return asked.join(before, "prev", "left").join(word, "word", "left").fillna(0, ["n", "t", "pn", "pt", "wn", "wt"])
+
+
+def pair_rows(docs: DataFrame) -> DataFrame:
+    """For each distinct pair of each row of docs (rid, doc_id, text, target): prev, word, m (times), n_prev and n_word (times of each in the text), size (tokens).
+
+    The first word's prev is null; a text without words has one row, whose word is null."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                some = b.slice(lo, 1024)
+                parts, rows = [], []
+                for text in some.column("text"):
+                    h = tokens(text.as_py())
+                    if not len(h):
+                        parts.append((np.zeros(1, np.uint64), np.zeros(1, np.uint64), *[np.zeros(1, np.int64)] * 4, np.ones(1, bool), np.ones(1, bool)))
+                        rows.append(1)
+                        continue
+                    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
+                    _, k, m = np.unique(at[:-1] * (len(times) + 1) + at[1:], return_index=True, return_counts=True)
+                    i = np.concatenate(([0], k + 1))  # places of the second words, the first word before them
+                    first = i == 0
+                    parts.append((h[i - 1], h[i], np.concatenate(([1], m)), np.where(first, 0, times[at[i - 1]]), times[at[i]], np.full(len(i), len(h)), first, np.zeros(len(i), bool)))
+                    rows.append(len(i))
+                prev, word, m, n_prev, n_word, size, first, none = (np.concatenate(x) for x in zip(*parts))
+                take = pa.array(np.repeat(np.arange(some.num_rows), rows))
+                columns = [some.column(c).take(take) for c in ("rid", "doc_id", "target")]
+                columns += [pa.array(prev.view(np.int64), mask=first), pa.array(word.view(np.int64), mask=none), *map(pa.array, (m, n_prev, n_word, size))]
+                whole = pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "target", "prev", "word", "m", "n_prev", "n_word", "size"])
+                yield from (whole.slice(k, 100_000) for k in range(0, whole.num_rows, 100_000))
+
+    return docs.mapInArrow(run, f"rid long, doc_id {kind}, target boolean, prev long, word long, m long, n_prev long, n_word long, size long")
+
+
+def count(texts: DataFrame) -> Counts:
+    """Exact counts over all rows of texts (text, target)."""
+    rows = pair_rows(texts.select(F.lit(0).cast("long").alias("rid"), F.lit(0).alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target")))
+    times = F.when(F.col("target"), F.col("m")).otherwise(0)
+    pairs = cut(rows.where("word IS NOT NULL").groupBy("prev", "word").agg(F.sum("m").alias("n"), F.sum(times).alias("t")), "pairs")
+    words = cut(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")  # each token ends one pair
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("k")).first()
+    return Counts(pairs, words, total.n, total.t, total.k)
+
+
+def exact_scores(docs: DataFrame, counts: Counts, own: bool, s: Settings) -> DataFrame:
+    """The result of lm_scores from exact counts; own: counts cover docs."""
+    rows = pair_rows(docs.withColumn("rid", F.monotonically_increasing_id()))
+    asked = counts.pairs if own else rows.where("word IS NOT NULL").select("prev", "word").distinct()
+    # a table: both sides of the join are then exchanges, which AQE can split
+    told = cut(counts.of(asked), "told").select(F.col("prev").alias("p"), F.col("word").alias("w"), "n", "t", "pn", "pt", "wn", "wt")
+
+    def loss(pair: str, before: str, word: str, total: int, mine: Column) -> Column:
+        one = lambda c: F.when(mine, F.col(c)).otherwise(0)
+        alone = (F.col(word) - one("n_word") + s.add) / (F.lit(total) - one("size") + s.add * (counts.distinct + 1))
+        context = F.col(before) - one("n_prev")
+        share = F.least((F.col(pair) - one("m")) / F.greatest(context, F.lit(1)), F.lit(1.0))
+        return F.sum(-F.log2(F.when(context > 0, s.weight * share + (1 - s.weight) * alone).otherwise(alone)) * F.col("m"))
+
+    met = rows.join(told, F.col("prev").eqNullSafe(F.col("p")) & (F.col("word") == F.col("w")), "left")
+    sums = met.groupBy("rid", "doc_id").agg(F.max("size").alias("n_tokens"), loss("t", "pt", "wt", counts.t, F.lit(own) & F.col("target")).alias("tb"), loss("n", "pn", "wn", counts.n, F.lit(own)).alias("bb"))
+    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    return sums.select("doc_id", "n_tokens", mean("tb").alias("target_bits"), mean("bb").alias("background_bits")).withColumn("score", F.col("target_bits") - F.col("background_bits"))
+
+
+def fit(texts: DataFrame, settings: Settings = Settings()) -> Counts | tuple[np.ndarray, Model, Model]:
+    """Exact counts, or vocabulary words, target and background models of a fixed size, from all rows of texts (text, target)."""
     s = settings
+    if s.bits is None:
+        return count(texts)
     counts = cut(word_counts(texts, s), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(s.vocabulary).toArrow()
     words = top.column("word").to_numpy()
@@ -148,7 +240,7 @@ def fit(texts: DataFrame, settings: Settings = Settings()) -> tuple[np.ndarray,
     return words, Model(single[1], pair[1]), Model(single[0], pair[0])
 
 
-def lm_scores(docs: DataFrame, target: Column | None = None, fitted: tuple[np.ndarray, Model, Model] | None = None, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+def lm_scores(docs: DataFrame, target: Column | None = None, fitted: Counts | tuple[np.ndarray, Model, Model] | None = None, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_tokens, target_bits, background_bits (per token) and score, their difference, for each row of docs.
 
     target: which rows of docs the target model learns from (null counts as false); or fitted: models made
@@ -159,6 +251,8 @@ def lm_scores(docs: DataFrame, target: Column | None = None, fitted: tuple[np.nd
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target if own else F.lit(False), F.lit(False)).alias("target"))
     if own:
         fitted = fit(some.select("text", "target"), s)
+    if isinstance(fitted, Counts):
+        return exact_scores(some, fitted, own, s)
     kind = some.schema["doc_id"].dataType.simpleString()
     shared = some.sparkSession.sparkContext.broadcast(fitted)
 
