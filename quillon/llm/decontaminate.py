@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations alone.
 
-A window of a document is as many words as a benchmark item has. Only windows that share a shingle with an
-item can be alike, so windows are laid where a shingle of the document is one of an item's, shifted by its
-place in the item. Each window gets a 64-bit SimHash of its shingles. Fingerprints are cut into radius + 1
+A window of a document is as many words as a benchmark item has. A window as alike as asked holds at least
+similarity times as many shingles of items as the item has shingles, so windows are laid at every start where
+that many stand. Each window gets a 64-bit SimHash of its shingles. Fingerprints are cut into radius + 1
 blocks: two that differ in at most radius bits agree in one block whole, so an equi-join on (size, block,
 value) finds every pair within the radius. What it finds is checked on the shingles themselves: the sum of
 the smaller counts over the sum of the larger ones, exactly.
@@ -68,6 +68,20 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def starts(at: str, k: str, similarity: float) -> Column:
+    """Every start of k places that hold at least similarity * k of the places at (sorted, distinct).
+
+    Of window and item the sum of the larger counts is at least k and that of the smaller ones at most the places, so no other window is alike."""
+    need = F.greatest(F.ceil(F.col(k) * similarity - 1e-9), F.lit(1)).cast("int")
+    firsts = F.slice(at, F.lit(1), F.greatest(F.size(at) - need + 1, F.lit(0)))
+
+    def around(p: Column, i: Column) -> Column:
+        last = F.get(F.col(at), i + need - 1)
+        return F.when(last - p < F.col(k), F.sequence(F.greatest(last - F.col(k) + 1, F.lit(0)), p)).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(F.flatten(F.transform(firsts, around)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """doc_id, th (hash of the text), item_id, similarity, start, n_words, hamming: the best window of each item in each document that has one.
 
@@ -93,10 +107,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _matches(hashed: DataFrame, items: DataFrame, n: int, hint, similarity: float, radius: int) -> DataFrame:
     coded = items.withColumn("ish", shingles_of("iw", n)).select("item_id", "ish", F.size("ish").alias("k"))
-    anchors = coded.select(F.posexplode("ish").alias("q", "h"), "k").distinct()
+    anchors = coded.select(F.explode("ish").alias("h"), "k").distinct()
     hits = hashed.select("doc_id", "th", F.posexplode(shingles_of("w", n)).alias("p", "h")).join(hint(anchors), "h")
-    # a window that would begin before the text begins with it
-    places = hits.select("doc_id", "th", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start"), "k").distinct()
+    held = hits.groupBy("doc_id", "th", "k").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    places = held.select("doc_id", "th", F.explode(starts("at", "k", similarity)).alias("start"), "k")
     laid = cut(places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "k")).alias("windows")), "windows")
     keyed = laid.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "windows")
     with_text = hashed.join(keyed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))

@@ -101,3 +101,21 @@ def test_odd_rows(spark):
     assert sorted(((r.doc_id, r.item_id) for r in got), key=repr) == [(4, 0), (None, 1)]
     assert dc.contaminated(docs(spark, []), benchmark).count() == 0
     assert dc.contaminated(docs(spark, ["hello"]), benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [59, 64])
+def test_best_window_between_the_shifts_of_shared_shingles(spark, n):
+    """First and last word changed, two words inserted in the middle: the best window starts at no shared shingle's shift."""
+    v = [f"word{k}" for k in range(n)]
+    text = " ".join(["noise"] * 20 + ["first", *v[1 : n // 2], "ins", "erted", *v[n // 2 : -1], "last"] + ["noise"] * 20)
+    assert set(check(docs(spark, [text]), items(spark, [" ".join(v)]))) == {(0, 0)}
+
+
+def test_starts_are_all_windows_that_hold_enough(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(range(60), rng.randrange(60))), rng.randrange(1, 30)) for _ in range(200)]
+    got = spark.createDataFrame(rows, "at array<int>, k int").select("at", "k", dc.starts("at", "k", 0.8).alias("s")).collect()
+    for r in got:
+        assert sorted(r.s) == [s for s in range(60) if 10 * sum(s <= p < s + r.k for p in r.at) >= 8 * r.k]
