@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns those
 that it keeps with the columns of `documents`; the last returns token ids. Between stages the documents are
-written as Parquet and read again. Ids are taken for unique: rows with one id share a decision, of rows with
-equal text and id one stays, and rows whose id is null are dropped only where no id is needed to tell them.
+written as Parquet and read again. Where an id is null or occurs with several texts, each text is judged for
+itself; of rows with equal text (up to white space) and id one stays.
 """
 
 from __future__ import annotations
@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import pieces, toxicity
+from quillon.llm import near_dedup, pieces, toxicity
 from quillon.llm.decontaminate import contaminated
-from quillon.llm.exact_dedup import exact_dedup
-from quillon.llm.near_dedup import near_dedup
+from quillon.llm.exact_dedup import exact_dedup, normalised
 from quillon.llm.queries import TOKENIZERS
 from quillon.llm.scratch import cut, table
 
@@ -31,16 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id."""
-    told = exact_dedup(docs).select("doc_id", "kept")
-    left = docs.join(told.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = told.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (left.dropDuplicates(["doc_id"]) if repeated else left).select(docs.columns)
+    told = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    named = docs.withColumn("own_sha", F.sha2(normalised(F.col("text")), 256))
+    left = named.join(told, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("own_sha") == F.col("gone_sha")), "left_anti")
+    return left.dropDuplicates(["doc_id", "own_sha"]).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates the document with the smallest id."""
-    gone = near_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_dedup.told(docs).where("NOT kept").select("doc_id", "th").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,6 +272,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component. Where an id occurs with several texts each text is a document; ids that are null are the
     last to name a component. kept: the row's id is the component's. Texts are read whole; columns not
     named do not matter; an empty table gives no rows."""
+    return told(docs, id_col, text_col, settings).drop("th")
+
+
+def told(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """The rows of near_dedup with th, the hash of the text, which tells apart the texts of one id."""
     s = settings
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(coded(plain, s), "signatures")
@@ -283,6 +288,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return grouped.select("node", F.when(F.col("label").isNull(), F.col("rep.id")).otherwise(F.col("label.id")).alias("component_id"), F.lit(True).alias("several"))
 
     named = settled(names, "named")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = rows.select("doc_id", "th", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("several"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

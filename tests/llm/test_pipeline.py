@@ -58,6 +58,16 @@ def test_odd_rows(spark):
         assert stage(spark, docs(spark, []), SF).count() == 0, name
 
 
+def test_each_text_of_an_id_and_of_null_ids_is_judged_for_itself(spark):
+    other = " ".join(f"o{k}" for k in range(30))
+    df = docs(spark, [PROSE, PROSE, "a", "b", "b", other, other + " tail", "own text of nine", PROSE, "a  b", "a b"], [3, 3, None, None, None, 4, 9, 9, 9, 5, 5])
+    out = cut(corpus_pipeline.drop_copies(spark, df, SF), "out")
+    got = sorted((r.doc_id or -1, " ".join(r.text.split())) for r in out.collect())
+    assert got == sorted([(3, PROSE), (-1, "a"), (-1, "b"), (4, other), (9, other + " tail"), (9, "own text of nine"), (5, "a b")])
+    near = corpus_pipeline.drop_near_copies(spark, out, SF).collect()
+    assert sorted((r.doc_id or -1, " ".join(r.text.split())) for r in near) == [x for x in got if x != (9, other + " tail")]
+
+
 def test_rest_of_the_library_does_not_import_it():
     root = Path(corpus_pipeline.__file__).parent
     for path in (root / "quillon").rglob("*.py"):
