@@ -3,12 +3,14 @@
 Two bigram models of one form, with one vocabulary, are counted: the target's on the texts that a rule
 picks, the background's on all texts. A document's score is its mean loss per token under the target model
 less that under the background model, in bits; low scores are like the target. A document that a model has
-counted is scored without its own counts. Counts cover the whole corpus and are exact: every word and every
-(previous, word) pair has its own row in tables that grow with the input, and each document's distinct pairs
-meet them in a shuffle. Nothing but three totals goes to the driver or, whole, to the executors.
-
-Settings with a vocabulary and bits count in a fixed size instead: all words but the most frequent as one
-unknown word, and word pairs hashed into 2**bits places.
+counted is scored without its own counts.
+
+Counts cover the whole corpus and are exact: every word and every (previous, word) pair has a count of its
+own, by 64-bit hash, in a table that grows with the input. Nothing but four totals goes to the driver.
+Documents are gathered into chunks of about a fixed number of tokens; a chunk holds each of its words and
+pairs once, as packed arrays in the order of their hashes. Ranges of the hashes are the buckets: each
+chunk sends each bucket its part, the bucket sums what it gets and answers each chunk with the sums alone, in the
+order asked. So a frequent word or pair is one entry a chunk, and moves as a few bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +31,10 @@ from quillon.llm.textcode import mix, word_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int | None = None  # the most frequent words, all others are one unknown word; None: every word, exactly
-    bits: int | None = None  # word pairs are counted in 2**bits places; None: every pair, exactly
     weight: float = 0.7  # of the pair's estimate; the rest is the single word's
     add: float = 0.5  # to each word's count
-    flush: int = 300_000  # distinct words that a task holds before it passes their counts on
-
-    def __post_init__(self):
-        if (self.vocabulary is None) != (self.bits is None):
-            raise ValueError("vocabulary and bits go together")
+    chunk: int = 2_000_000  # tokens of a chunk, from which on it takes no further document
+    bucket: int = 2_000_000  # entries that a bucket gets from all chunks, about
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -44,203 +42,216 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes((text or "").lower().encode("utf-8", "replace"), space_only=False)
 
 
-def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-    """Sums of (word, all, target) rows by word."""
-    words = np.concatenate([p[0] for p in parts])
-    order, where = np.unique(words, return_inverse=True)
-    sums = [np.bincount(where, weights=np.concatenate([p[k] for p in parts]), minlength=len(order)).astype(np.int64) for k in (1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array(order.view(np.int64)), *map(pa.array, sums)], names=["word", "n", "n_target"])
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, as few as the largest needs, compressed."""
+    a = np.ascontiguousarray(a).astype("<u8", copy=False)
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def word_counts(texts: DataFrame, s: Settings) -> DataFrame:
-    """word (hash), n and n_target over the whole table of text and target."""
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.reshape(-1).view("<u8")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for b in batches:
-            for text, target in zip(b.column("text"), b.column("target")):
-                w, n = np.unique(tokens(text.as_py()), return_counts=True)
-                parts.append((w, n, n * bool(target.as_py())))
-                held += len(w)
-                if held > 4 * s.flush:
-                    one = _counted(parts)
-                    parts = [tuple(one.column(k).to_numpy() if k else one.column(0).to_numpy().view(np.uint64) for k in range(3))]
-                    held = one.num_rows
-                    if held > s.flush:
-                        yield one
-                        parts, held = [], 0
-        if parts:
-            yield _counted(parts)
 
-    return texts.mapInArrow(run, "word long, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+def pack_sorted(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def word_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of words are even, those of pairs odd."""
+    return mix(words, 31) & np.uint64(2**64 - 2)
+
 
+def pair_keys(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(prev, 32) * np.uint64(3) + word, 33) | np.uint64(1)
 
-class Vocabulary:
-    """Word hashes in order; ids are their places, and the number of words is the unknown word's."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = np.sort(words.view(np.uint64))
+class Chunk:
+    """The tokens of some documents, their words and pairs each once, and all keys in order."""
 
-    def ids(self, text: str | None) -> np.ndarray:
-        h = tokens(text)
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, at, len(self.words)).astype(np.int64)
+    def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray):
+        """words: distinct; at: the word of each token; sizes: tokens of each document."""
+        self.words, self.at, self.sizes = words, at, sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        second = np.ones(len(at), bool)
+        second[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+        self.second = np.flatnonzero(second)  # tokens that have one before them in their document
+        h = words[at]
+        pairs, self.pair = np.unique(pair_keys(h[self.second - 1], h[self.second]), return_inverse=True)
+        keys = np.concatenate((word_keys(words), pairs))
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.place = np.empty(len(keys), np.int64)  # in keys: of each word, then of each pair
+        self.place[order] = np.arange(len(keys))
 
+    def counts(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the chosen documents."""
+        w = np.bincount(self.at[chosen[self.doc]], minlength=len(self.words))
+        p = np.bincount(self.pair[chosen[self.doc[self.second]]], minlength=len(self.keys) - len(self.words))
+        out = np.empty(len(self.keys), np.int64)
+        out[self.place] = np.concatenate((w, p))
+        return out
 
-def pairs_of(ids: np.ndarray, bits: int) -> np.ndarray:
-    """The places of the neighbouring pairs."""
-    return (mix((ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64), 3) >> np.uint64(64 - bits)).astype(np.int64)
+    def own(self, kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For each token, how often its kind occurs in its document."""
+        if not len(kind):
+            return np.zeros(0, np.int64)
+        _, at, times = np.unique(doc * (int(kind.max()) + 1) + kind, return_inverse=True, return_counts=True)
+        return times[at]
 
+    def losses(self, sums: np.ndarray, total: int, distinct: int, counted: np.ndarray, s: Settings) -> np.ndarray:
+        """Bits of each document: each token's loss is that of a mix of the pair's share of its context and the single word's; the first has no context.
 
-def pair_counts(texts: DataFrame, vocabulary: Broadcast, s: Settings) -> DataFrame:
-    """place, n and n_target of the word pairs over the whole table; each task passes on its sums only."""
+        sums: count of each key in the model; counted: documents that the model has counted, whose own counts are taken out: a text is no evidence for itself."""
+        size, k = self.sizes[self.doc], len(self.words)
+        mine = counted[self.doc]
+        single = sums[self.place[:k]][self.at] - np.where(mine, self.own_words, 0)
+        p = (single + s.add) / (total - np.where(mine, size, 0) + s.add * (distinct + 1))
+        if len(self.second):
+            context = single[self.second - 1]
+            pair = sums[self.place[k:]][self.pair] - np.where(mine[self.second], self.own_pairs, 0)
+            share = pair / np.maximum(context, 1)
+            p[self.second] = np.where(context > 0, s.weight * share + (1 - s.weight) * p[self.second], p[self.second])
+        return np.bincount(self.doc, weights=-np.log2(p), minlength=len(self.sizes))
+
+    def prepared(self) -> Chunk:
+        self.own_words = self.own(self.at, self.doc)
+        self.own_pairs = self.own(self.pair, self.doc[self.second])
+        return self
+
+
+def chunks(texts: DataFrame, s: Settings) -> DataFrame:
+    """Rows of texts (doc_id, text, target) as chunks; ids, sizes and targets in the order of documents, the rest packed."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    fields = [("chunk", pa.int64()), ("ids", None), ("target", pa.list_(pa.bool_())), *((x, pa.binary()) for x in ("sizes", "words", "at", "keys", "n", "t")), *((x, pa.int64()) for x in ("n_keys", "n_tokens", "t_tokens"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocabulary.value)
-        sums = np.zeros((2, 1 << s.bits), np.int64)
+        first = TaskContext.get().partitionId() << 32
+        held: list[np.ndarray] = []
+        ids: list = []
+        target: list[bool] = []
+        made = size = 0
+
+        def out() -> pa.RecordBatch:
+            words, at = np.unique(np.concatenate(held), return_inverse=True)
+            c = Chunk(words, at, np.array([len(h) for h in held]))
+            chosen = np.array(target, bool)
+            n, t = c.counts(np.ones(len(held), bool)), c.counts(chosen)
+            row = [first + made, pa.concat_arrays(ids), target, pack(c.sizes), pack_sorted(words), pack(at), pack_sorted(c.keys), pack(n), pack(t), len(c.keys), size, int(c.sizes[chosen].sum())]
+            row[1] = pa.ListArray.from_arrays(pa.array([0, len(row[1])], pa.int32()), row[1])
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], k) for x, (_, k) in zip(row, fields)], names=[x for x, _ in fields])
+
         for b in batches:
-            for text, target in zip(b.column("text"), b.column("target")):
-                places, n = np.unique(pairs_of(v.ids(text.as_py()), s.bits), return_counts=True)
-                sums[0][places] += n
-                if target.as_py():
-                    sums[1][places] += n
-        some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["place", "n", "n_target"])
+            for k, (text, chosen) in enumerate(zip(b.column("text"), b.column("target"))):
+                held.append(tokens(text.as_py()))
+                ids.append(b.column("doc_id").slice(k, 1))
+                target.append(bool(chosen.as_py()))
+                size += len(held[-1])
+                if size >= s.chunk or len(held) >= s.chunk:
+                    yield out()
+                    held, ids, target, made, size = [], [], [], made + 1, 0
+        if held:
+            yield out()
 
-    return texts.mapInArrow(run, "place int, n long, n_target long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    return texts.mapInArrow(run, f"chunk long, ids array<{kind}>, target array<boolean>, sizes binary, words binary, at binary, keys binary, n binary, t binary, n_keys long, n_tokens long, t_tokens long")
 
 
-@dataclass
-class Model:
-    """Counts of one language model over the shared vocabulary."""
+MESSAGE = "bucket long, chunk long, keys binary, n binary, t binary"
 
-    single: np.ndarray  # by word id, the unknown word last
-    pair: np.ndarray  # by place; float64, which holds counts up to 2**53
 
-    def losses(self, ids: np.ndarray, own: bool, s: Settings) -> np.ndarray:
-        """Bits of each token: a mix of the pair's share of its context and the single word's; the first has no context.
+def messages(made: DataFrame, buckets: int) -> DataFrame:
+    """For each chunk and bucket the keys in the bucket's range of hashes, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(1 << 64) * k // buckets for k in range(buckets)], np.uint64)
+        for b in batches:
+            for chunk, *packed in zip(b.column("chunk").to_pylist(), *(b.column(x).to_pylist() for x in ("keys", "n", "t"))):
+                keys, n, t = unpack_sorted(packed[0]), unpack(packed[1]), unpack(packed[2])
+                at = np.append(np.searchsorted(keys, edges), len(keys))
+                some = np.flatnonzero(np.diff(at))
+                for lo in range(0, len(some), 1000):
+                    part = some[lo : lo + 1000]
+                    cells = [[f(x[at[k] : at[k + 1]]) for k in part] for f, x in ((pack_sorted, keys), (pack, n), (pack, t))]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([chunk] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], names=["bucket", "chunk", "keys", "n", "t"])
+
+    return made.select("chunk", "keys", "n", "t").mapInArrow(run, MESSAGE)
 
-        own: the model has counted these tokens, which are taken out again: a text is no evidence for itself."""
-        words, at, n = np.unique(ids, return_inverse=True, return_counts=True)
-        single = self.single[words] - n * own
-        p = ((single + s.add) / (self.total - len(ids) * own + s.add * len(self.single)))[at]
-        if len(ids) > 1:
-            places, which, m = np.unique(pairs_of(ids, s.bits), return_inverse=True, return_counts=True)
-            pair, context = (self.pair[places] - m * own)[which], single[at[:-1]]
-            share = np.minimum(pair / np.maximum(context, 1), 1)
-            p[1:] = np.where(context > 0, s.weight * share + (1 - s.weight) * p[1:], p[1:])
-        return -np.log2(p)
 
-    def __post_init__(self):
-        self.total = self.single.sum()
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a bucket's messages and their sums."""
+    keys, at = np.unique(np.concatenate([unpack_sorted(r["keys"]) for r in rows]), return_inverse=True)
+    n, t = (np.bincount(at, weights=np.concatenate([unpack(r[x]) for r in rows]), minlength=len(keys)).astype(np.uint64) for x in ("n", "t"))  # sums under 2**53
+    return keys, n, t
 
 
 @dataclass
 class Counts:
     """Exact counts of both models: all texts (n) and the target's (t)."""
 
-    pairs: DataFrame  # prev (null before the first word), word, n, t
-    words: DataFrame  # word, n, t
+    table: DataFrame  # bucket, keys, n, t: one row a bucket
+    buckets: int
     n: int
     t: int
-    distinct: int
+    distinct: int  # words
 
-    def of(self, asked: DataFrame) -> DataFrame:
-        """prev and word of asked (distinct) with the counts of the pair and of both words; 0 where nothing was counted."""
-        before = self.words.select(F.col("word").alias("prev"), F.col("n").alias("pn"), F.col("t").alias("pt"))
-        word = self.words.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
-        if asked is not self.pairs:
-            pairs = self.pairs.select(F.col("prev").alias("p"), F.col("word").alias("w"), "n", "t")
-            asked = asked.join(pairs, F.col("prev").eqNullSafe(F.col("p")) & (F.col("word") == F.col("w")), "left").drop("p", "w")
-        return asked.join(before, "prev", "left").join(word, "word", "left").fillna(0, ["n", "t", "pn", "pt", "wn", "wt"])
 
+def _totals(made: DataFrame, s: Settings) -> tuple[int, int, int]:
+    """Buckets, and tokens of all texts and of the target's."""
+    total = made.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_keys", "n_tokens", "t_tokens"))).first()
+    least = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * least, -(-total.n_keys // s.bucket)), total.n_tokens, total.t_tokens
 
-def pair_rows(docs: DataFrame) -> DataFrame:
-    """For each distinct pair of each row of docs (rid, doc_id, text, target): prev, word, m (times), n_prev and n_word (times of each in the text), size (tokens).
 
-    The first word's prev is null; a text without words has one row, whose word is null."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                some = b.slice(lo, 1024)
-                parts, rows = [], []
-                for text in some.column("text"):
-                    h = tokens(text.as_py())
-                    if not len(h):
-                        parts.append((np.zeros(1, np.uint64), np.zeros(1, np.uint64), *[np.zeros(1, np.int64)] * 4, np.ones(1, bool), np.ones(1, bool)))
-                        rows.append(1)
-                        continue
-                    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
-                    _, k, m = np.unique(at[:-1] * (len(times) + 1) + at[1:], return_index=True, return_counts=True)
-                    i = np.concatenate(([0], k + 1))  # places of the second words, the first word before them
-                    first = i == 0
-                    parts.append((h[i - 1], h[i], np.concatenate(([1], m)), np.where(first, 0, times[at[i - 1]]), times[at[i]], np.full(len(i), len(h)), first, np.zeros(len(i), bool)))
-                    rows.append(len(i))
-                prev, word, m, n_prev, n_word, size, first, none = (np.concatenate(x) for x in zip(*parts))
-                take = pa.array(np.repeat(np.arange(some.num_rows), rows))
-                columns = [some.column(c).take(take) for c in ("rid", "doc_id", "target")]
-                columns += [pa.array(prev.view(np.int64), mask=first), pa.array(word.view(np.int64), mask=none), *map(pa.array, (m, n_prev, n_word, size))]
-                whole = pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "target", "prev", "word", "m", "n_prev", "n_word", "size"])
-                yield from (whole.slice(k, 100_000) for k in range(0, whole.num_rows, 100_000))
-
-    return docs.mapInArrow(run, f"rid long, doc_id {kind}, target boolean, prev long, word long, m long, n_prev long, n_word long, size long")
-
-
-def count(texts: DataFrame) -> Counts:
+def fit(texts: DataFrame, settings: Settings = Settings()) -> Counts:
     """Exact counts over all rows of texts (text, target)."""
-    rows = pair_rows(texts.select(F.lit(0).cast("long").alias("rid"), F.lit(0).alias("doc_id"), "text", F.coalesce("target", F.lit(False)).alias("target")))
-    times = F.when(F.col("target"), F.col("m")).otherwise(0)
-    pairs = cut(rows.where("word IS NOT NULL").groupBy("prev", "word").agg(F.sum("m").alias("n"), F.sum(times).alias("t")), "pairs")
-    words = cut(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")  # each token ends one pair
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("k")).first()
-    return Counts(pairs, words, total.n, total.t, total.k)
-
-
-def exact_scores(docs: DataFrame, counts: Counts, own: bool, s: Settings) -> DataFrame:
-    """The result of lm_scores from exact counts; own: counts cover docs."""
-    rows = pair_rows(docs.withColumn("rid", F.monotonically_increasing_id()))
-    asked = counts.pairs if own else rows.where("word IS NOT NULL").select("prev", "word").distinct()
-    # a table: both sides of the join are then exchanges, which AQE can split
-    told = cut(counts.of(asked), "told").select(F.col("prev").alias("p"), F.col("word").alias("w"), "n", "t", "pn", "pt", "wn", "wt")
-
-    def loss(pair: str, before: str, word: str, total: int, mine: Column) -> Column:
-        one = lambda c: F.when(mine, F.col(c)).otherwise(0)
-        alone = (F.col(word) - one("n_word") + s.add) / (F.lit(total) - one("size") + s.add * (counts.distinct + 1))
-        context = F.col(before) - one("n_prev")
-        share = F.least((F.col(pair) - one("m")) / F.greatest(context, F.lit(1)), F.lit(1.0))
-        return F.sum(-F.log2(F.when(context > 0, s.weight * share + (1 - s.weight) * alone).otherwise(alone)) * F.col("m"))
-
-    met = rows.join(told, F.col("prev").eqNullSafe(F.col("p")) & (F.col("word") == F.col("w")), "left")
-    sums = met.groupBy("rid", "doc_id").agg(F.max("size").alias("n_tokens"), loss("t", "pt", "wt", counts.t, F.lit(own) & F.col("target")).alias("tb"), loss("n", "pn", "wn", counts.n, F.lit(own)).alias("bb"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    return sums.select("doc_id", "n_tokens", mean("tb").alias("target_bits"), mean("bb").alias("background_bits")).withColumn("score", F.col("target_bits") - F.col("background_bits"))
-
-
-def fit(texts: DataFrame, settings: Settings = Settings()) -> Counts | tuple[np.ndarray, Model, Model]:
-    """Exact counts, or vocabulary words, target and background models of a fixed size, from all rows of texts (text, target)."""
-    s = settings
-    if s.bits is None:
-        return count(texts)
-    counts = cut(word_counts(texts, s), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(s.vocabulary).toArrow()
-    words = top.column("word").to_numpy()
-    order = np.argsort(words.view(np.uint64))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_target"), F.lit(0)).alias("t")).first()
-    known = [top.column(c).to_numpy()[order].astype(np.float64) for c in ("n", "n_target")]
-    single = [np.append(k, all_ - k.sum()) for k, all_ in zip(known, total)]
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-    got = pair_counts(texts, shared, s).toArrow()
-    pair = np.zeros((2, 1 << s.bits))
-    places = got.column("place").to_numpy()
-    pair[0][places], pair[1][places] = got.column("n").to_numpy(), got.column("n_target").to_numpy()
-    return words, Model(single[1], pair[1]), Model(single[0], pair[0])
-
-
-def lm_scores(docs: DataFrame, target: Column | None = None, fitted: Counts | tuple[np.ndarray, Model, Model] | None = None, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    made = cut(chunks(texts.select(F.lit(0).alias("doc_id"), "text", "target"), settings), "chunks")
+    buckets, n, t = _totals(made, settings)
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys, a, b = _summed(rows.to_pylist())
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "keys": pa.array([pack_sorted(keys)], pa.binary()), "n": pa.array([pack(a)], pa.binary()), "t": pa.array([pack(b)], pa.binary()), "words": pa.array([int((keys & np.uint64(1) == 0).sum())], pa.int64())})
+
+    table = cut(messages(made, buckets).groupBy("bucket").applyInArrow(run, "bucket long, keys binary, n binary, t binary, words long"), "counts")
+    return Counts(table, buckets, n, t, table.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
+
+
+def _answers(asked: DataFrame, table: DataFrame | None) -> DataFrame:
+    """chunk, bucket and the sums n and t of the keys that the chunk asked for, in order; chunk null: the number of distinct words of a bucket, in words.
+
+    table: the model's rows; None: the messages themselves are what is counted."""
+    own = table is None
+    rows = asked if own else asked.unionByName(table.select("bucket", F.lit(None).cast("long").alias("chunk"), "keys", "n", "t"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        known = rows if own else [r for r in rows if r["chunk"] is None]
+        keys, *sums = _summed(known) if known else [np.zeros(0, np.uint64)] * 3
+        out = {"chunk": [], "bucket": [], "n": [], "t": [], "words": []}
+        for r in rows:
+            if r["chunk"] is not None:
+                mine = unpack_sorted(r["keys"])
+                at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+                found = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
+                cells = [pack(np.where(found, x[at], 0)) if len(keys) else pack(np.zeros(len(mine))) for x in sums]
+                for name, x in zip(out, (r["chunk"], r["bucket"], *cells, None)):
+                    out[name].append(x)
+        for name, x in zip(out, (None, rows[0]["bucket"], None, None, int((keys & np.uint64(1) == 0).sum()))):
+            out[name].append(x)
+        return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()), "n": pa.array(out["n"], pa.binary()), "t": pa.array(out["t"], pa.binary()), "words": pa.array(out["words"], pa.int64())})
+
+    return rows.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, n binary, t binary, words long")
+
+
+def lm_scores(docs: DataFrame, target: Column | None = None, fitted: Counts | None = None, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_tokens, target_bits, background_bits (per token) and score, their difference, for each row of docs.
 
     target: which rows of docs the target model learns from (null counts as false); or fitted: models made
@@ -249,24 +260,37 @@ def lm_scores(docs: DataFrame, target: Column | None = None, fitted: Counts | tu
     matter; an empty table gives no rows."""
     s, own = settings, fitted is None
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(target if own else F.lit(False), F.lit(False)).alias("target"))
-    if own:
-        fitted = fit(some.select("text", "target"), s)
-    if isinstance(fitted, Counts):
-        return exact_scores(some, fitted, own, s)
     kind = some.schema["doc_id"].dataType.simpleString()
-    shared = some.sparkSession.sparkContext.broadcast(fitted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, *models = shared.value
-        v = Vocabulary(words)
-        for b in batches:
-            n, bits = [], ([], [])
-            for text, chosen in zip(b.column("text"), b.column("target")):
-                ids = v.ids(text.as_py())
-                n.append(len(ids))
-                for out, m, counted in zip(bits, models, (own and chosen.as_py(), own)):
-                    out.append(float(m.losses(ids, counted, s).mean()) if len(ids) else None)
-            score = [None if x is None else x - y for x, y in zip(*bits)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (*bits, score))], names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
-
-    return some.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, score double")
+    made = cut(chunks(some, s), "chunks")
+    if own:
+        buckets, n, t = _totals(made, s)
+    else:
+        buckets, n, t = fitted.buckets, fitted.n, fitted.t
+    told = cut(_answers(messages(made, buckets), None if own else fitted.table), "told")
+    distinct = (told.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]) if own else fitted.distinct
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        r = next(x for x in rows if x["bucket"] is None)
+        parts = sorted((x for x in rows if x["bucket"] is not None), key=lambda x: x["bucket"])
+        c = Chunk(unpack_sorted(r["words"]), unpack(r["at"]).astype(np.int64), unpack(r["sizes"]).astype(np.int64)).prepared()
+        chosen = np.array(r["target"], bool)
+        bits = []
+        for x, total, counted in (("t", t, chosen & own), ("n", n, np.full(len(chosen), own))):
+            sums = np.concatenate([unpack(p[x]) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+            loss = c.losses(sums, total, distinct, counted, s)
+            bits.append([float(y) if k else None for y, k in zip(loss / np.maximum(c.sizes, 1), c.sizes)])
+        score = [None if x is None else x - y for x, y in zip(*bits)]
+        return pa.table({"doc_id": pa.array(r["ids"], ids), "n_tokens": pa.array(c.sizes, pa.int64()), **{k: pa.array(v, pa.float64()) for k, v in zip(("target_bits", "background_bits", "score"), (*bits, score))}})
+
+    ids = _arrow_type(some)
+    nothing = F.lit(None)
+    blank = lambda names, df: [nothing.cast(df.schema[x].dataType).alias(x) for x in names]
+    head = made.select("chunk", nothing.cast("long").alias("bucket"), *blank("nt", made), "ids", "target", "sizes", "words", "at")
+    answers = told.where("chunk IS NOT NULL").select("chunk", "bucket", "n", "t", *blank(("ids", "target", "sizes", "words", "at"), made))
+    return head.unionByName(answers).groupBy("chunk").applyInArrow(run, f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, score double")
+
+
+def _arrow_type(some: DataFrame) -> pa.DataType:
+    """The Arrow type of doc_id."""
+    return some.select("doc_id").limit(0).toArrow().schema.field("doc_id").type

@@ -12,48 +12,30 @@ from quillon.llm.scratch import table
 from tests.llm.helpers import docs, odd
 
 
-def by_hand(rows, s):
-    """{id: (target bits, background bits)} from plain dictionaries."""
-    toks = {i: lm.tokens(t).tolist() for i, t, _ in rows}
-    count = Counter(w for ws in toks.values() for w in ws)
-    known = {w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0] - (1 << 64) * (x[0] >> 63)))[: s.vocabulary]}
-    order = {w: k for k, w in enumerate(sorted(known))}
-    ids = {i: [order.get(w, len(order)) for w in ws] for i, ws in toks.items()}
-    place = lambda a, b: int(lm.pairs_of(np.array([a, b]), s.bits)[0])
-    out = {i: [] for i in ids}
-    for chosen in (lambda target: target, lambda target: True):
-        model = [i for i, _, target in rows if chosen(target)]
-        one, two = Counter(w for i in model for w in ids[i]), Counter(place(a, b) for i in model for a, b in zip(ids[i], ids[i][1:]))
-        for i, ws in ids.items():
-            c1, c2 = (one - Counter(ws), two - Counter(place(a, b) for a, b in zip(ws, ws[1:]))) if i in model else (one, two)
-            total, bits = sum(c1.values()), 0.0
-            for k, w in enumerate(ws):
-                p = (c1[w] + s.add) / (total + s.add * (len(order) + 1))
-                if k and c1[ws[k - 1]]:
-                    p = s.weight * min(c2[place(ws[k - 1], w)] / c1[ws[k - 1]], 1) + (1 - s.weight) * p
-                bits -= math.log2(p)
-            out[i].append(bits / len(ws) if ws else None)
-    return out
+def test_texts_like_the_target_score_low(spark):
+    texts = ["red green blue " * 20] * 5 + ["one two three " * 20] * 30 + ["blue red green " * 3, "two three one " * 3]
+    out = {r.doc_id: r.score for r in lm.lm_scores(docs(spark, texts), F.col("doc_id") < 5).collect()}
+    assert out[35] < out[36]
 
 
-@pytest.mark.parametrize("vocabulary", [50_000, 300])
-def test_equals_counts_by_hand(spark, vocabulary):
-    s = lm.Settings(vocabulary=vocabulary, bits=14, flush=500)
+def test_equals_counts_by_hand(spark):
+    """Small chunks and buckets, so that documents of many chunks meet."""
     df = table(spark, "/root/testdata/sf0.001", "documents")
     target = F.col("source").isin("src1", "src2", "src3")
     rows = [tuple(r) for r in df.select("doc_id", "text", target).collect()]
-    want = by_hand(rows, s)
-    got = lm.lm_scores(df, target, settings=s).collect()
+    want = exact_by_hand(rows, lm.Settings())
+    got = lm.lm_scores(df, target, settings=lm.Settings(chunk=2000, bucket=500)).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.target_bits, r.background_bits) == pytest.approx(want[r.doc_id])
         assert r.score == pytest.approx(want[r.doc_id][0] - want[r.doc_id][1])
 
 
-def test_texts_like_the_target_score_low(spark):
-    texts = ["red green blue " * 20] * 5 + ["one two three " * 20] * 30 + ["blue red green " * 3, "two three one " * 3]
-    out = {r.doc_id: r.score for r in lm.lm_scores(docs(spark, texts), F.col("doc_id") < 5).collect()}
-    assert out[35] < out[36]
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for a in (np.zeros(0, np.uint64), np.array([0]), np.array([2**64 - 1, 0, 255, 256], np.uint64), rng.integers(0, 2**64, 1000, np.uint64)):
+        assert lm.unpack(lm.pack(a)).tolist() == a.tolist()
+        assert lm.unpack_sorted(lm.pack_sorted(np.sort(a))).tolist() == np.sort(a).tolist()
 
 
 def test_odd_rows(spark):
