@@ -7,8 +7,8 @@ counted is scored without its own counts.
 
 Counts cover the whole corpus and are exact: every word and every (previous, word) pair has a count of its
 own, by 64-bit hash, in a table that grows with the input. Nothing but four totals goes to the driver.
-Documents are gathered into chunks of about a fixed number of tokens; a chunk holds each of its words and
-pairs once, as packed arrays in the order of their hashes. Ranges of the hashes are the buckets: each
+Documents are gathered into chunks of about a fixed number of tokens, which are kept as packed arrays; a chunk
+has each of its words and pairs once, in the order of their hashes. Ranges of the hashes are the buckets: each
 chunk sends each bucket its part, the bucket sums what it gets and answers each chunk with the sums alone, in the
 order asked. So a frequent word or pair is one entry a chunk, and moves as a few bytes.
 """
@@ -33,8 +33,8 @@ from quillon.llm.textcode import mix, word_hashes
 class Settings:
     weight: float = 0.7  # of the pair's estimate; the rest is the single word's
     add: float = 0.5  # to each word's count
-    chunk: int = 2_000_000  # tokens of a chunk, from which on it takes no further document
-    bucket: int = 2_000_000  # entries that a bucket gets from all chunks, about
+    chunk: int = 1_000_000  # tokens of a chunk, from which on it takes no further document
+    bucket: int = 2_000_000  # tokens of the corpus for each bucket at most; a bucket gets fewer entries than twice that from all chunks, about
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -80,17 +80,17 @@ class Chunk:
 
     def __init__(self, words: np.ndarray, at: np.ndarray, sizes: np.ndarray):
         """words: distinct; at: the word of each token; sizes: tokens of each document."""
-        self.words, self.at, self.sizes = words, at, sizes
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.words, self.at, self.sizes = words, at.astype(np.int32), sizes
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         second = np.ones(len(at), bool)
         second[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
-        self.second = np.flatnonzero(second)  # tokens that have one before them in their document
-        h = words[at]
-        pairs, self.pair = np.unique(pair_keys(h[self.second - 1], h[self.second]), return_inverse=True)
+        self.second = np.flatnonzero(second).astype(np.int32)  # tokens that have one before them in their document
+        pairs, pair = np.unique(pair_keys(words[at[self.second - 1]], words[at[self.second]]), return_inverse=True)
+        self.pair = pair.astype(np.int32)
         keys = np.concatenate((word_keys(words), pairs))
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.place = np.empty(len(keys), np.int64)  # in keys: of each word, then of each pair
+        self.place = np.empty(len(keys), np.int32)  # in keys: of each word, then of each pair
         self.place[order] = np.arange(len(keys))
 
     def counts(self, chosen: np.ndarray) -> np.ndarray:
@@ -105,8 +105,8 @@ class Chunk:
         """For each token, how often its kind occurs in its document."""
         if not len(kind):
             return np.zeros(0, np.int64)
-        _, at, times = np.unique(doc * (int(kind.max()) + 1) + kind, return_inverse=True, return_counts=True)
-        return times[at]
+        _, at, times = np.unique(doc.astype(np.int64) * (int(kind.max()) + 1) + kind, return_inverse=True, return_counts=True)
+        return times.astype(np.int32)[at]
 
     def losses(self, sums: np.ndarray, total: int, distinct: int, counted: np.ndarray, s: Settings) -> np.ndarray:
         """Bits of each document: each token's loss is that of a mix of the pair's share of its context and the single word's; the first has no context.
@@ -129,10 +129,14 @@ class Chunk:
         return self
 
 
+def restored(words: bytes, at: bytes, sizes: bytes) -> Chunk:
+    return Chunk(unpack_sorted(words), unpack(at).astype(np.int32), unpack(sizes).astype(np.int64))
+
+
 def chunks(texts: DataFrame, s: Settings) -> DataFrame:
     """Rows of texts (doc_id, text, target) as chunks; ids, sizes and targets in the order of documents, the rest packed."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    fields = [("chunk", pa.int64()), ("ids", None), ("target", pa.list_(pa.bool_())), *((x, pa.binary()) for x in ("sizes", "words", "at", "keys", "n", "t")), *((x, pa.int64()) for x in ("n_keys", "n_tokens", "t_tokens"))]
+    fields = [("chunk", pa.int64()), ("ids", None), ("target", pa.list_(pa.bool_())), *((x, pa.binary()) for x in ("sizes", "words", "at")), *((x, pa.int64()) for x in ("n_tokens", "t_tokens"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -143,10 +147,8 @@ def chunks(texts: DataFrame, s: Settings) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words, at = np.unique(np.concatenate(held), return_inverse=True)
-            c = Chunk(words, at, np.array([len(h) for h in held]))
-            chosen = np.array(target, bool)
-            n, t = c.counts(np.ones(len(held), bool)), c.counts(chosen)
-            row = [first + made, pa.concat_arrays(ids), target, pack(c.sizes), pack_sorted(words), pack(at), pack_sorted(c.keys), pack(n), pack(t), len(c.keys), size, int(c.sizes[chosen].sum())]
+            sizes = np.array([len(h) for h in held])
+            row = [first + made, pa.concat_arrays(ids), target, pack(sizes), pack_sorted(words), pack(at), size, int(sizes[np.array(target, bool)].sum())]
             row[1] = pa.ListArray.from_arrays(pa.array([0, len(row[1])], pa.int32()), row[1])
             return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], k) for x, (_, k) in zip(row, fields)], names=[x for x, _ in fields])
 
@@ -162,7 +164,7 @@ def chunks(texts: DataFrame, s: Settings) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInArrow(run, f"chunk long, ids array<{kind}>, target array<boolean>, sizes binary, words binary, at binary, keys binary, n binary, t binary, n_keys long, n_tokens long, t_tokens long")
+    return texts.mapInArrow(run, f"chunk long, ids array<{kind}>, target array<boolean>, sizes binary, words binary, at binary, n_tokens long, t_tokens long")
 
 
 MESSAGE = "bucket long, chunk long, keys binary, n binary, t binary"
@@ -174,16 +176,17 @@ def messages(made: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(1 << 64) * k // buckets for k in range(buckets)], np.uint64)
         for b in batches:
-            for chunk, *packed in zip(b.column("chunk").to_pylist(), *(b.column(x).to_pylist() for x in ("keys", "n", "t"))):
-                keys, n, t = unpack_sorted(packed[0]), unpack(packed[1]), unpack(packed[2])
+            for chunk, target, *packed in zip(*(b.column(x) for x in ("chunk", "target", "words", "at", "sizes"))):
+                c, target = restored(*(x.as_py() for x in packed)), np.array(target.as_py(), bool)
+                keys, n, t = c.keys, c.counts(np.ones(len(target), bool)), c.counts(target)
                 at = np.append(np.searchsorted(keys, edges), len(keys))
                 some = np.flatnonzero(np.diff(at))
                 for lo in range(0, len(some), 1000):
                     part = some[lo : lo + 1000]
                     cells = [[f(x[at[k] : at[k + 1]]) for k in part] for f, x in ((pack_sorted, keys), (pack, n), (pack, t))]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([chunk] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], names=["bucket", "chunk", "keys", "n", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([chunk.as_py()] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in cells)], names=["bucket", "chunk", "keys", "n", "t"])
 
-    return made.select("chunk", "keys", "n", "t").mapInArrow(run, MESSAGE)
+    return made.select("chunk", "target", "words", "at", "sizes").mapInArrow(run, MESSAGE)
 
 
 def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,9 +209,9 @@ class Counts:
 
 def _totals(made: DataFrame, s: Settings) -> tuple[int, int, int]:
     """Buckets, and tokens of all texts and of the target's."""
-    total = made.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_keys", "n_tokens", "t_tokens"))).first()
+    total = made.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_tokens", "t_tokens"))).first()
     least = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * least, -(-total.n_keys // s.bucket)), total.n_tokens, total.t_tokens
+    return max(2 * least, -(-total.n_tokens // s.bucket)), total.n_tokens, total.t_tokens
 
 
 def fit(texts: DataFrame, settings: Settings = Settings()) -> Counts:
@@ -273,7 +276,7 @@ def lm_scores(docs: DataFrame, target: Column | None = None, fitted: Counts | No
         rows = rows.to_pylist()
         r = next(x for x in rows if x["bucket"] is None)
         parts = sorted((x for x in rows if x["bucket"] is not None), key=lambda x: x["bucket"])
-        c = Chunk(unpack_sorted(r["words"]), unpack(r["at"]).astype(np.int64), unpack(r["sizes"]).astype(np.int64)).prepared()
+        c = restored(r["words"], r["at"], r["sizes"]).prepared()
         chosen = np.array(r["target"], bool)
         bits = []
         for x, total, counted in (("t", t, chosen & own), ("n", n, np.full(len(chosen), own))):
@@ -286,7 +289,7 @@ def lm_scores(docs: DataFrame, target: Column | None = None, fitted: Counts | No
     ids = _arrow_type(some)
     nothing = F.lit(None)
     blank = lambda names, df: [nothing.cast(df.schema[x].dataType).alias(x) for x in names]
-    head = made.select("chunk", nothing.cast("long").alias("bucket"), *blank("nt", made), "ids", "target", "sizes", "words", "at")
+    head = made.select("chunk", nothing.cast("long").alias("bucket"), *blank("nt", told), "ids", "target", "sizes", "words", "at")
     answers = told.where("chunk IS NOT NULL").select("chunk", "bucket", "n", "t", *blank(("ids", "target", "sizes", "words", "at"), made))
     return head.unionByName(answers).groupBy("chunk").applyInArrow(run, f"doc_id {kind}, n_tokens long, target_bits double, background_bits double, score double")
 
