@@ -27,7 +27,7 @@ from quillon.llm.textcode import mix, shingles, word_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 4  # of a shingle
+    words: int = 5  # of a shingle
     percent: int = 80  # link: 100 * intersection >= percent * union
     trees: int = 16
     depth: int = 12  # values of a tree's order

@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.labelled import features_of, fold, sample_ids, scored
+from quillon.llm.labelled import class_sizes, features_of, fold, prior_shift, sample_ids, scored
 from quillon.llm.textcode import _SPACE, Coded, mix, pieces
 
-#: The feature of a word that follows itself, whichever it is.
+#: The feature of a word that follows itself, whichever it is: words that are repeated are a trait of their own, which hashed pairs alone cannot pass on to words never seen.
 TWICE = np.uint64(0x9D39247E33776D41)
 _TO_SPACE = bytes(32 if _SPACE[i] else i for i in range(256))
 
@@ -29,6 +29,7 @@ class Settings:
     dim: int = 8
     rate: float = 1.0
     epochs: int = 12
+    repeats: bool = True  # all pairs of a word and itself are one feature
     per_class: int = 2000  # bound of the labelled sample, for each of the two classes
 
 
@@ -41,7 +42,7 @@ def hashed(text: str, s: Settings) -> np.ndarray:
         out.append(w)
         with np.errstate(over="ignore"):
             pair = mix(w[:-1] * np.uint64(3) + mix(w[1:], 9), 8)
-        out.append(np.where(w[:-1] == w[1:], TWICE, pair))
+        out.append(np.where(w[:-1] == w[1:], TWICE, pair) if s.repeats else pair)
         blank = np.concatenate(([0], np.cumsum(c.bytes == 32)))
         for n in s.grams:
             if len(p) >= n:
@@ -95,8 +96,12 @@ def scorer(model: tuple[np.ndarray, float], s: Settings):
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """A model from at most settings.per_class labelled rows of each class among those that keep allows."""
-    return sgd(features_of(docs, sample_ids(labels, id_col, label_col, keep, settings.per_class), id_col, text_col, encode(settings)), settings)
+    """A model from at most settings.per_class labelled rows of each class among those that keep allows.
+
+    Its intercept follows the classes of all of them, so that scores mean the same whatever share the sample is."""
+    rows = features_of(docs, sample_ids(labels, id_col, label_col, keep, settings.per_class), id_col, text_col, encode(settings))
+    parts, bias = sgd(rows, settings)
+    return parts, bias + prior_shift(class_sizes(labels, id_col, label_col, keep), rows)
 
 
 def quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, settings: Settings = Settings()) -> DataFrame:

@@ -13,7 +13,7 @@ from quillon.llm import toxicity as toxicity_model
 from quillon.llm.decontaminate import contaminated
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.lm_scoring import lm_scores
-from quillon.llm.near_dedup import near_dedup
+from quillon.llm.near_dedup import Settings, near_dedup
 from quillon.llm.scratch import table
 
 
@@ -74,7 +74,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents"), settings=Settings(words=4))  # what its contract fixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -98,7 +98,7 @@ itc AS (SELECT item_id, sh, count(*) AS c FROM it GROUP BY ALL),
 dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
 dl AS (SELECT doc_id, n, list_transform(generate_series(1, len(w) - n + 1), lambda x: array_to_string(w[x:x + n - 1], ' ')) AS l FROM dw, (SELECT DISTINCT n FROM i)),
 pos AS (SELECT doc_id, n, unnest(l) AS sh, generate_subscripts(l, 1) AS p FROM dl),
-place AS (SELECT DISTINCT doc_id, item_id, n, k, greatest(p - q, 0) + 1 AS s FROM pos JOIN it USING (n, sh)),
+place AS (SELECT DISTINCT doc_id, item_id, n, k, unnest(generate_series(greatest(p - k + 1, 1), p)) AS s FROM pos JOIN it USING (n, sh)),
 near AS (SELECT DISTINCT doc_id, n FROM place),
 part AS (SELECT pos.* FROM pos JOIN near USING (doc_id, n)),
 win AS (SELECT doc_id, item_id, n, k, s, sh, count(*) AS c FROM place JOIN part USING (doc_id, n) WHERE p BETWEEN s AND s + k - 1 GROUP BY ALL),

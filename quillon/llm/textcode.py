@@ -40,11 +40,11 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
-    """data in pieces of at most PIECE bytes; a word is divided only if it is longer than a piece."""
+    """data in pieces of at most PIECE bytes, cut after any ASCII white space; a word is divided only if it is longer than a piece."""
     at = 0
     while len(data) - at > PIECE:
         end = at + PIECE
-        cut = max(data.rfind(b" ", at, end), data.rfind(b"\n", at, end))
+        cut = max(data.rfind(bytes([c]), at, end) for c in np.flatnonzero(_SPACE))
         end = cut + 1 if cut > at else end
         yield data[at:end]
         at = end
@@ -63,18 +63,42 @@ class Coded:
         with np.errstate(over="ignore"):
             self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _UP[: len(b)], dtype=np.uint64)))
 
-    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes before mixing: that of two strings in a row is the first's and B**(its length) times the second's."""
         with np.errstate(over="ignore"):
-            return mix((self.prefix[ends] - self.prefix[starts]) * _DOWN[starts])
+            return (self.prefix[ends] - self.prefix[starts]) * _DOWN[starts]
+
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(self.raw(starts, ends))
 
     def words(self) -> np.ndarray:
         return self.between(self.starts, self.ends)
 
 
 def word_hashes(data: bytes, space_only: bool = True) -> np.ndarray:
-    """64-bit hashes of the words of data, in order."""
-    found = [Coded(p, space_only).words() for p in pieces(data)]
-    return found[0] if len(found) == 1 else np.concatenate(found)
+    """64-bit hashes of the words of data, in order; a word that pieces divide is one word."""
+    if len(data) <= PIECE:
+        return Coded(data, space_only).words()
+    found, open_, size = [], 0, 0  # hash and length of the word that the last piece ended in
+    for p in pieces(data):
+        c = Coded(p, space_only)
+        raw = c.raw(c.starts, c.ends)
+        ended = bool(size)
+        if size and len(raw) and not c.starts[0]:
+            raw[0] = np.uint64((open_ + int(raw[0]) * pow(BASE, size, 1 << 64)) % (1 << 64))
+            ended = False
+        if ended:
+            found.append(np.array([open_], np.uint64))
+        if len(raw) and c.ends[-1] == len(p):
+            joined = size if len(raw) == 1 and not c.starts[0] and not ended else 0
+            open_, size = int(raw[-1]), joined + int(c.ends[-1] - c.starts[-1])
+            raw = raw[:-1]
+        else:
+            size = 0
+        found.append(raw)
+    if size:
+        found.append(np.array([open_], np.uint64))
+    return mix(np.concatenate(found))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.labelled import features_of, fold, sample_ids, score_of, scored
+from quillon.llm.labelled import class_sizes, features_of, fold, prior_shift, sample_ids, score_of, scored
 from quillon.llm.textcode import Coded, mix, pieces
 
 
@@ -30,6 +30,10 @@ class Settings:
     per_class: int = 3000  # bound of the labelled sample, for each of the two classes
 
 
+#: The model of no labels: every score is 0.5.
+NOTHING = (np.empty(0, np.int32), np.empty(0, np.float32), 0.0)
+
+
 def hashed(text: str, s: Settings) -> np.ndarray:
     """The places of all features of text, with repeats."""
     words, stems = [], []
@@ -94,8 +98,15 @@ def scorer(model: tuple[np.ndarray, np.ndarray, float], s: Settings):
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, float]:
-    """A model from at most settings.per_class labelled rows of each class among those that keep allows."""
-    return ftrl(features_of(docs, sample_ids(labels, id_col, label_col, keep, settings.per_class), id_col, text_col, encode(settings)), settings)
+    """A model from at most settings.per_class labelled rows of each class among those that keep allows.
+
+    Its intercept follows the classes of all of them, so that scores mean the same whatever share the sample is.
+    Where no document of one of the classes is labelled there is nothing to tell apart: the model is empty (NOTHING)."""
+    rows = features_of(docs, sample_ids(labels, id_col, label_col, keep, settings.per_class), id_col, text_col, encode(settings))
+    if len({y for y, _, _ in rows}) < 2:
+        return NOTHING
+    places, weights, bias = ftrl(rows, settings)
+    return places, weights, bias + prior_shift(class_sizes(labels, id_col, label_col, keep), rows)
 
 
 def score_column(text: Column, model: tuple[np.ndarray, np.ndarray, float], settings: Settings = Settings()) -> Column:
@@ -107,7 +118,7 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_co
     """doc_id, score (0 to 1) and predicted (1 if score >= threshold) for each row of docs.
 
     Null and empty texts get the intercept's score. Repeated rows are scored each. Without labelled rows
-    the model is empty and every score is 0.5. Columns not named do not matter; an empty table gives no rows."""
+    of both classes the model is empty and every score is 0.5. Columns not named do not matter; an empty table gives no rows."""
     return scored(docs, id_col, text_col, scorer(model, settings)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
