@@ -14,10 +14,14 @@ rendered alone. A conversation with a third of all rows is spread over as many t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ class Settings:
     merge: float = 1.0
     insert: float = 3.0
     block: int = 4096  # rows that one group holds at most
+    block_bytes: int = 16 << 20  # of text, from which on a group takes no further row
     aliases: tuple[tuple[str, str], ...] = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
@@ -162,7 +167,19 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ranged = plain.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
     kind, turn_kind = (plain.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     place = ranged.select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text").withColumn("at", F.monotonically_increasing_id())  # as strings: pandas has no null integers
-    rows = cut(place.withColumn("seq", F.shiftright("at", bits)), "turns")  # no partition holds 2**33 rows, so seq never spans two
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, n, size = TaskContext.get().partitionId() << 33, 0, 0  # no partition holds 2**33 rows, so seq never spans two
+        for b in batches:
+            told = []
+            for more in pc.binary_length(b.column("text")).to_pylist():
+                if n == s.block or size >= s.block_bytes:
+                    seq, n, size = seq + 1, 0, 0
+                told.append(seq)
+                n, size = n + 1, size + more
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.int64())], names=[*b.schema.names, "seq"])
+
+    rows = cut(place.mapInArrow(grouped, "conv_id string, turn string, role string, text string, at long, seq long"), "turns")
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")

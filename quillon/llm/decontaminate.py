@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from quillon.llm.scratch import cut
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
-#: Up to this many items (and 64 times as many shingles) are broadcast; larger benchmarks are joined by shuffle.
-BROADCAST_ITEMS = 20_000
+#: Benchmarks of up to this many shingles in all are broadcast (each is held once for each block, 8 bytes a time); larger ones are joined by shuffle.
+BROADCAST_SHINGLES = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -82,7 +82,7 @@ def starts(at: str, k: str, similarity: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(firsts, around)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """doc_id, th (hash of the text), item_id, similarity, start, n_words, hamming: the best window of each item in each document that has one.
 
     Words are runs of letters, marks and digits, in lower case. An item of fewer words than a shingle is one
@@ -91,9 +91,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named do not matter. Documents without an item are not in the result."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.transform(words_of(F.col(item_text_col)), lambda w: F.xxhash64(w)).alias("iw")).where("size(iw) > 0")
     items = cut(items.withColumn("n", F.least(F.size("iw"), F.lit(shingle))), "items")
-    few = items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
-    hint = F.broadcast if few else (lambda df: df)
-    sizes = sorted(r.n for r in items.select("n").distinct().collect())  # shingle at most
+    held = {r.n: r.k for r in items.groupBy("n").agg(F.sum(F.size("iw")).alias("k")).collect()}  # a row for each length of a shingle
+    hint = F.broadcast if sum(held.values()) <= BROADCAST_SHINGLES else (lambda df: df)
+    sizes = sorted(held)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     hashed = text.select("doc_id", "th", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     found = [_matches(hashed, items.where(F.col("n") == n), n, hint, similarity, radius) for n in sizes]

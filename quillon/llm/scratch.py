@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, local mode), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one is set in local mode, and on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-
 class _Written(threading.local):
     """Paths of the tables that cut() wrote in this thread and that are still there, in order."""
 

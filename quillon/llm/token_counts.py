@@ -55,10 +55,17 @@ class Counter:
 class Tree:
     """The pre-tokens of one text, with sums."""
 
-    def __init__(self, text: str, counter: Counter, block: int = 64):
+    def __init__(self, text: str, counter: Counter, block: int = 64, known: tuple[list[int], list[int]] | None = None):
+        """known: length and count of each pre-token, of a tree that was stored; nothing is encoded then."""
         self.text, self.counter, self.block, self.encoded = text, counter, block, 0
-        words = counter.pattern.findall(text)
-        self._build([*map(len, words)], counter.counts(words))
+        if known is None:
+            words = counter.pattern.findall(text)
+            known = [*map(len, words)], counter.counts(words)
+        self._build(*known)
+
+    def stored(self) -> tuple[list[int], list[int]]:
+        """Length and count of each pre-token, in order: what a tree is built from again."""
+        return [n for l, _ in self.leaves for n in l], [n for _, c in self.leaves for n in c]
 
     def _build(self, lens: list[int], counts: list[int]) -> None:
         b = self.block
@@ -199,14 +206,51 @@ def counter_of(vocabulary: bytes) -> Counter:
     return _COUNTERS[key]
 
 
+EDITS = "array<struct<start:int,end:int,new:string>>"
+
+
+def token_trees(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, lens, counts and n_tokens of each row of docs: its tree, to be stored and edited later.
+
+    Null and empty texts have empty trees. Repeated rows have a tree each; an empty table gives no rows."""
+    empty = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("lens"), F.lit(None).cast("array<int>").alias("counts"))
+    return edited_trees(empty.withColumn("edits", F.lit(None).cast(EDITS)), vocabulary).drop("n_edits", "n_reencoded")
+
+
+def edited_trees(trees: DataFrame, vocabulary: bytes, edits_col: str = "edits") -> DataFrame:
+    """The trees (doc_id, text, lens, counts) after the edits of edits_col, in the same form, with n_tokens, n_edits and n_reencoded.
+
+    Only pre-tokens that an edit touches, and those next to them, are encoded (n_reencoded); a tree whose lens is
+    null is built first. Edits are taken as in token_counts; other columns do not matter."""
+    some = trees.select("doc_id", "text", "lens", "counts", F.col(edits_col).alias("edits"))
+    kind = some.schema["doc_id"].dataType.simpleString()
+    shared = some.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(shared.value)
+        for b in batches:
+            for k in range(b.num_rows):
+                text, lens, counts, edits = (b.column(c)[k].as_py() for c in ("text", "lens", "counts", "edits"))
+                tree = Tree(text or "", counter, known=None if lens is None else (lens, counts))
+                made = legal_edits([tuple(e.values()) for e in edits or []], len(tree.text))
+                tree.edit(made)
+                lens, counts = (pa.array([x], pa.list_(pa.int32())) for x in tree.stored())
+                numbers = (pa.array([n], pa.int64()) for n in (tree.total, len(made), tree.encoded))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 1), pa.array([tree.text]), lens, counts, *numbers], names=["doc_id", "text", "lens", "counts", "n_tokens", "n_edits", "n_reencoded"])
+
+    return some.mapInArrow(run, f"doc_id {kind}, text string, lens array<int>, counts array<int>, n_tokens long, n_edits long, n_reencoded long")
+
+
 def token_counts(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, rules: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_edited, n_reencoded for each row of docs.
 
     Edits are those of edits_col (array of start, end, replacement in characters of the text), else the
     matches of rules. n_reencoded: pre-tokens that were encoded anew for them. Null and empty texts have no
     tokens (an edit may insert some). Edits that overlap an earlier one are left out. Repeated rows are
-    counted each; texts are read whole; columns not named do not matter; an empty table gives no rows."""
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(edits_col) if edits_col else F.lit(None).cast("array<struct<start:int,end:int,new:string>>")).alias("edits"))
+    counted each; texts are read whole; columns not named do not matter; an empty table gives no rows.
+    A rule's match is taken where it begins first, of equal begins the earlier rule's; edits have no bound.
+    For edits that come later, token_trees keeps the trees and edited_trees takes them up again."""
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(edits_col) if edits_col else F.lit(None).cast(EDITS)).alias("edits"))
     kind = some.schema["doc_id"].dataType.simpleString()
     shared = some.sparkSession.sparkContext.broadcast(vocabulary)
 

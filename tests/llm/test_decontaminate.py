@@ -70,7 +70,7 @@ def test_edits_ends_and_short_items(spark):
 
 def test_large_benchmarks_are_not_broadcast(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
-    monkeypatch.setattr(dc, "BROADCAST_ITEMS", 3)
+    monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 3)
     check(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
@@ -111,6 +111,30 @@ def test_best_window_between_the_shifts_of_shared_shingles(spark, n):
     assert set(check(docs(spark, [text]), items(spark, [" ".join(v)]))) == {(0, 0)}
 
 
+def test_reordered_passage(spark):
+    """The halves of an item change places: similar at a start that no shared shingle's shift gives."""
+    v, rest = [f"word{k}" for k in range(200)], [f"own{k}" for k in range(800)]
+    texts = [" ".join([*rest[:400], *v[100:], *v[:100], *rest[400:]]), " ".join([*rest[:400], *v[150:], *v[50:150], *v[:50], *rest[400:]])]
+    got = check(docs(spark, texts), items(spark, [" ".join(v)]))
+    assert got[0, 0] > 0.9 and got[1, 0] > 0.9
+
+
+def test_sql_twin_slides_over_all_windows(spark, tmp_path):
+    import duckdb
+
+    from quillon.llm import queries
+
+    v = [f"word{k}" for k in range(60)]
+    texts = [" ".join(["x"] * 9 + [*v[30:], *v[:30]] + ["y"] * 9), " ".join(["first", *v[1:30], "ins", "erted", *v[30:-1], "last"]), "nothing of it", None]
+    d, b = docs(spark, texts).toPandas(), items(spark, [" ".join(v)]).toPandas()
+    c = duckdb.connect()
+    c.register("documents", d)
+    c.register("benchmark", b)
+    want = sorted(c.sql(queries.OP9_SQL).fetchall())
+    got = dc.contaminated(docs(spark, texts), items(spark, [" ".join(v)])).select("doc_id", "item_id", "similarity", "start", "n_words")
+    assert sorted(map(tuple, got.collect())) == [pytest.approx(r) for r in want] and [r[0] for r in want] == [0, 1]
+
+
 def test_starts_are_all_windows_that_hold_enough(spark):
     import random
 

@@ -6,7 +6,7 @@ import regex
 from pyspark.sql import functions as F
 
 from quillon.llm import queries, token_counts as tc
-from quillon.llm.scratch import table
+from quillon.llm.scratch import cut, table
 from tests.llm.helpers import docs, odd
 
 with open(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
@@ -67,3 +67,19 @@ def test_given_edits_and_odd_rows(spark):
     assert got.count((4, 1, 2, len(COUNTER.encode("Yello!")))) == 2
     assert (1, 0, 3, len(COUNTER.encode("!Yeoverlaps"))) in got  # beyond the end means at the end
     assert len(got) == 10 and tc.token_counts(docs(spark, []), VOCABULARY).count() == 0
+
+
+def test_stored_trees_take_later_edits(spark, monkeypatch):
+    """Trees go to a table and back; what an edit does not touch is not encoded again."""
+    text = "some words and more words " * 2000
+    df = docs(spark, [text, None, "", "Hello world"])
+    trees = cut(tc.token_trees(df, VOCABULARY), "trees")
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {0: len(COUNTER.encode(text)), 1: 0, 2: 0, 3: 2}
+    edit = "array(named_struct('start', {}, 'end', {}, 'new', '{}'))"
+    once = cut(tc.edited_trees(trees.withColumn("edits", F.expr(edit.format(5, 7, "XY"))), VOCABULARY), "trees")
+    twice = {r.doc_id: r for r in tc.edited_trees(once.withColumn("edits", F.expr(edit.format(0, 1, "Q"))), VOCABULARY).collect()}
+    want = {k: "Q" + (t[:5] + "XY" + t[7:])[1:] for k, t in enumerate([text, "", "", "Hello world"])}
+    for k, r in twice.items():
+        assert (r.text, r.n_tokens, sum(r.lens)) == (want[k], len(COUNTER.encode(want[k])), len(want[k]))
+        assert r.n_reencoded < 8 and len(r.lens) == len(COUNTER.pattern.findall(want[k]))
+    assert tc.token_trees(docs(spark, []), VOCABULARY).count() == 0
