@@ -22,8 +22,12 @@ TOXIC = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the threshold; the model learns from a bounded sample of all labelled rows."""
+    """Documents under the threshold; the model learns from a bounded sample of all labelled rows.
+
+    Where no document of either class is labelled nothing is learned, and all documents stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    if model is toxicity.NOTHING:
+        return docs
     score = toxicity.score_column(F.col("text"), model)
     return docs.where(score < TOXIC)
 
@@ -37,7 +41,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document with the smallest id."""
+    """Of near-duplicates (shingles of five words) the document with the smallest id."""
     gone = near_dedup.told(docs).where("NOT kept").select("doc_id", "th").distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["th"]), "left_anti")
 
