@@ -30,6 +30,80 @@ def test_ftrl_is_sparse_and_finds_the_features():
     assert len(places) < 400 and places[weights.argmax()] == 3 and bias < 0
 
 
+def test_ftrl_equals_one_with_dictionaries():
+    """Coordinates as a dictionary of plain numbers, one at a time."""
+    rng = np.random.default_rng(1)
+    s = toxicity.Settings(bits=8, epochs=2, l1=0.5)
+    rows = [(int(k % 3 == 0), np.unique(rng.integers(0, 256, 12) // (1 + k % 3)), None) for k in range(120)]
+    z, n, order = {}, {}, np.random.default_rng(7)
+    bias = 256
+
+    def weight(i):
+        over = abs(z.get(i, 0.0)) - (s.l1 if i != bias else 0)
+        return -np.sign(z.get(i, 0.0)) * max(over, 0) / ((s.beta + n.get(i, 0.0) ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for k in order.permutation(len(rows)):
+            y, places, _ = rows[k]
+            mine = [*places.tolist(), bias]
+            w = {i: weight(i) for i in mine}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in mine:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / s.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    places, weights, intercept = toxicity.ftrl(rows, s)
+    want = {i: weight(i) for i in z if i != bias and weight(i)}
+    assert dict(zip(places.tolist(), weights.tolist())) == pytest.approx(want, rel=1e-4) and intercept == pytest.approx(weight(bias))
+
+
+def test_quality_features_equal_a_plain_loop():
+    from quillon.llm import textcode as tc
+
+    def code(b):
+        return int(tc.mix(np.array([sum((x + 1) * pow(tc.BASE, j, 1 << 64) for j, x in enumerate(b)) % (1 << 64)], np.uint64))[0])
+
+    def mixed(h, seed):
+        return int(tc.mix(np.array([h % (1 << 64)], np.uint64), seed)[0])
+
+    s = quality.Settings()
+    for text in ("The the owl, owl!\nsaw\t\té 12", "", "a", "  x  yz yz "):
+        data = b" " + text.encode().translate(quality._TO_SPACE) + b" "
+        words = data.split()
+        want = [code(w) for w in words]
+        want += [int(quality.TWICE) if a == b else mixed(code(a) * 3 + mixed(code(b), 9), 8) for a, b in zip(words, words[1:])]
+        for n in s.grams:
+            for i in range(len(data) - n + 1):
+                gram = data[i : i + n]
+                if (b" " not in gram[1:-1]) and gram.strip():
+                    want.append(mixed(code(gram), n))
+        assert sorted(quality.hashed(text, s).tolist()) == sorted(h >> (64 - s.bits) for h in want)
+
+
+def test_scores_do_not_follow_the_share_of_the_sample(spark):
+    """One bound takes all labelled rows and the other as many of each class: mean scores stay near the whole table's share."""
+    import dataclasses
+
+    sf = "/root/testdata/sf0.1"
+    df, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    share = labels.agg(F.avg("toxic")).first()[0]
+    for per_class in (3000, 300):
+        s = dataclasses.replace(toxicity.Settings(), per_class=per_class)
+        model = toxicity.fit(df, labels, F.lit(True), settings=s)
+        got = toxicity.toxicity(df.join(labels, "doc_id"), model, settings=s).agg(F.avg("predicted")).first()[0]
+        assert abs(got - share) < 0.05
+    rows = [(1, None, None)] * 5 + [(0, None, None)] * 5
+    assert labelled.prior_shift((90, 10), rows) == pytest.approx(np.log(1 / 9)) and labelled.prior_shift((0, 10), rows) == 0
+
+
+def test_features_are_bounded_in_bytes_and_ids_count_once(spark, monkeypatch):
+    df = docs(spark, ["a b c d"] * 6 + ["zz"], [0, 1, 2, 3, 3, 3, 3])
+    chosen = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, y int")
+    found = labelled.features_of(df, chosen, "doc_id", "text", toxicity.encode(toxicity.Settings()))
+    assert len(found) == 4
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 2 * found[0][1].nbytes)
+    assert len(labelled.features_of(df, chosen, "doc_id", "text", toxicity.encode(toxicity.Settings()))) in (2, 3)
+
+
 def test_features_cross_pieces():
     s = toxicity.Settings()
     long = "word " * 200_000

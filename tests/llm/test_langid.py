@@ -40,3 +40,26 @@ def test_ties_go_to_the_frequent_language(spark):
     assert [*learned] == ["zz", "aa"]
     r = langid.language_id(docs(spark, ["q"]), learned).first()
     assert (r.lang_pred, r.rejected) == ("zz", True)
+
+
+def test_sizes_equal_plain_compression_of_each_block():
+    import unicodedata
+
+    import zstandard
+
+    raw = {"hi": "हिन्दी में यह एक वाक्य है ".encode() * 9, "fr": "bonjour à tous les élèves ".encode() * 9}
+    packer = langid.Packer(raw, langid.Settings(block=64))
+    for text in ("हिन्दी में 12 लिखा है! " * 9, "Les élèves, bonjour. " * 20, "x"):
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+        data = "".join(c for k, c in enumerate(kept) if c != " " or k == 0 or kept[k - 1] != " ").encode()
+        assert data == langid.letters(text)
+        for lang, size in zip(raw, packer.sizes(text)):
+            d = zstandard.ZstdCompressionDict(raw[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            assert size == sum(len(zstandard.ZstdCompressor(compression_params=langid.parameters(), dict_data=d).compress(data[i : i + 64])) for i in range(0, len(data), 64))
+    assert langid.letters("हिन्दी में") == "हिन्दी में".encode()
+    assert packer.decide("हिन्दी में 12 लिखा है")[0] == "hi"
+
+
+def test_every_language_is_learned(spark):
+    df = docs(spark, [f"text {k}" for k in range(1200)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    assert len(langid.fit(df, F.lit(True))) == 1200

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm.scratch import cut, table
-from tests.llm.helpers import PROSE, docs
+from tests.llm.helpers import PROSE, docs, odd
 from tests.llm.test_decontaminate import brute as contaminated_by_brute_force
 from tests.llm.test_dedup import brute as near_by_brute_force
 
@@ -68,6 +68,29 @@ def test_each_text_of_an_id_and_of_null_ids_is_judged_for_itself(spark):
     assert sorted((r.doc_id or -1, " ".join(r.text.split())) for r in near) == [x for x in got if x != (9, other + " tail")]
 
 
+def test_without_labels_all_documents_stay(spark, monkeypatch):
+    df = table(spark, SF, "documents")
+    labels = {"none": "false", "null only": "true", "one class": "toxic = 0"}
+    for rule in labels.values():
+        some = table(spark, SF, "labels").where(rule)
+        some = some.withColumn("toxic", F.lit(None).cast("int")) if rule == "true" else some
+        monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n, some=some: some)
+        assert corpus_pipeline.drop_toxic(spark, df, SF).count() == df.count()
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Extra columns with names that stages use; a very long text; nulls."""
+    df = odd(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "toxicity":  # its model of the table's labels knows other ids
+            out = cut(stage(spark, df, SF), name)
+            if name != "sentencepiece":
+                assert out.columns == df.columns and out.exceptAll(df).count() == 0
+                df = out
+            assert out.where("doc_id = 6").count() == 1
+    assert {(r.doc_id, (r.text or "")[:5]) for r in df.collect()} == {(1, ""), (4, "Hello"), (5, "xxxxx"), (6, "w0 w1"), (None, "no id"), (7, "emoji"), (3, " \t\n")}  # the null text without id is a copy of the empty ones
+
+
 def test_rest_of_the_library_does_not_import_it():
     root = Path(corpus_pipeline.__file__).parent
     for path in (root / "quillon").rglob("*.py"):
