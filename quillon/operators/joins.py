@@ -56,9 +56,11 @@ def collection_join(left: DataFrame, right: DataFrame, on: Sequence[str], into:
 
 
 def salted(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int, kind: str = "inner") -> DataFrame:
-    """For a known hot key: left's rows are dealt over salts parts and right's are copied to each (inner, left, semi, anti)."""
+    """For a known hot key: left's rows are dealt over salts parts and right's are copied to each (inner, left, semi, anti).
+
+    The salt is a hash of left's other columns, the same when a task is run again and whatever the partitioning; rows that are equal in all columns stay together."""
     if kind not in ("inner", "left", "semi", "anti"):
         raise ValueError("right's rows are copied, so kinds that keep them cannot be salted")
-    a = left.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(salts)))  # the same when a task is run again
+    a = left.withColumn("__salt", F.pmod(F.xxhash64(*(c for c in left.columns if c not in on)), F.lit(salts)))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*on, "__salt"], SPARK[kind]).drop("__salt")

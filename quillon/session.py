@@ -33,6 +33,42 @@ def session(app: str = "quillon", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def whole_divisions(df: DataFrame, query: str) -> list[int]:
+    """Where query has a `/` whose operands both are integers, as the analysed plan types them."""
+    spark = df.sparkSession
+    chosen = spark._jvm.org.apache.spark.sql.catalyst.expressions.Cast.USER_SPECIFIED_CAST()
+    whole = ("tinyint", "smallint", "int", "bigint")
+    listed = lambda seq: [seq.apply(k) for k in range(seq.size())]
+    kind = lambda node: node.getClass().getSimpleName()
+    found: set[int] = set()
+
+    def operand(e):
+        """What stands in the text, without the cast that `/` adds."""
+        return e.child() if kind(e) == "Cast" and e.getTagValue(chosen).isEmpty() else e
+
+    def expression(e) -> None:
+        if kind(e) == "Divide":
+            a, b = operand(e.left()), operand(e.right())
+            text, first, last = e.origin().sqlText(), e.origin().startIndex(), e.origin().stopIndex()
+            if text.isDefined() and text.get() == query and first.isDefined() and last.isDefined() and all(x.dataType().catalogString() in whole for x in (a, b)):
+                at = dialect.last_division(query[first.get() : last.get() + 1])
+                if at >= 0:
+                    found.add(first.get() + at)
+        if hasattr(e, "plan") and "Subquery" in kind(e) or kind(e) in ("Exists", "ListQuery"):
+            plan(e.plan())
+        for child in listed(e.children()):
+            expression(child)
+
+    def plan(node) -> None:
+        for e in listed(node.expressions()):
+            expression(e)
+        for child in listed(node.children()):
+            plan(child)
+
+    plan(df._jdf.queryExecution().analyzed())
+    return sorted(found)
+
+
 class Engine:
     """SQL over registered tables, in PostgreSQL's dialect, planned by Catalyst."""
 
@@ -80,10 +116,19 @@ class Engine:
 
     def _run(self, text: str, args: Mapping | Sequence | None) -> DataFrame:
         query = dialect.translate(text, self.integer_columns(text) if "/" in text else set())
-        log.debug("%s", query)
+        while True:  # divisions of divisions are known to be of integers once the inner ones are
+            log.debug("%s", query)
+            df = self._planned(query, args)
+            places = whole_divisions(df, query) if "/" in query else []
+            if not places:
+                return df
+            for at in sorted(places, reverse=True):
+                query = f"{query[:at]}DIV{query[at + 1 :]}"
+
+    def _planned(self, query: str, args: Mapping | Sequence | None) -> DataFrame:
         if args is None:
             return self.spark.sql(query)
-        return self.spark.sql(query, args=dict(args) if isinstance(args, Mapping) else [*args])
+        return self.spark.sql(query, args=dict(args) if isinstance(args, Mapping) else {f"p{k}": a for k, a in enumerate(args, 1)})
 
     def explain(self, text: str, mode: str = "formatted") -> str:
         """The physical plan of a query as text."""

@@ -43,9 +43,11 @@ def scan_delimited(spark: SparkSession, path: str, schema: str | T.StructType, s
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that all executors share, for files between steps: spark.checkpoint.dir, else (local mode) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that all executors share, for files between steps: spark.checkpoint.dir, else (local mode) a temporary one; on a cluster it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found

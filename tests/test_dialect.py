@@ -83,3 +83,26 @@ def test_explain_shows_pushdown(spark):
     assert "PushedFilters: [IsNotNull(l_quantity), LessThan(l_quantity,3.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     assert tables.SCHEMAS["lineitem"].count(",") == 10
+
+
+@pytest.mark.parametrize(
+    "query, want",
+    [
+        ("select x.k / 2 as v from (select id as k from goods where id = 3) x", 1),
+        ("with a as (select count(*) as n from (values (1), (2), (3)) t(q)) select n / 2 as v from a", 1),
+        ("select cast(7 as int) / 2 as v", 3),
+        ("select extract(year from date '1998-05-01') / 100 as v", 19),
+        ("select (x.k + 4) / 2 / 2 as v from (select max(id) as k from goods where id = 3) x", 1),
+        ("select -7 / cast(2 as bigint) as v", -3),
+        ("select cast(7 as int) / 2.0 as v", 3.5),
+        ("select cast(7 as double) / cast(2 as double) as v", 3.5),
+        ("select (select y.k / 2 from (select 5 as k) y) as v", 2),
+        ("select count(*) as v from goods g where g.id / 2 = 1 and exists (select 1 from goods h where h.id / 2 = 1)", 2),
+    ],
+)
+def test_division_by_the_types_of_the_operands(engine, query, want):
+    assert float(rows(engine.sql(query))[0][0]) == want
+
+
+def test_parameters_in_any_order_and_more_than_once(engine):
+    assert rows(engine.sql("select id from goods where kind = $2 and price > $1 and price > $1", [6, 20])) == rows(engine.sql("select id from goods where price > $1 and kind = $2", [6, 20]))
