@@ -6,6 +6,7 @@ import logging
 import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.plans import dialect
@@ -101,6 +102,13 @@ class Engine:
                     kinds.setdefault(field.name.lower(), set()).add(field.dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"))
         return {name for name, k in kinds.items() if k == {True}}
 
+    def resolves(self, query: str) -> bool:
+        """Whether the query is complete in itself: it refers to no outer query, parameter or WITH table."""
+        try:
+            return len(self.spark.sql(query).columns) == 1
+        except AnalysisException:
+            return False
+
     def sql(self, text: str, args: Mapping | Sequence | None = None) -> DataFrame:
         """One statement: a query, or PREPARE, EXECUTE and DEALLOCATE of one. args: values of $1, $2 ... or of :name."""
         text = text.strip().rstrip(";").strip()
@@ -115,7 +123,7 @@ class Engine:
         return self._run(text, args)
 
     def _run(self, text: str, args: Mapping | Sequence | None) -> DataFrame:
-        query = dialect.translate(text, self.integer_columns(text) if "/" in text else set())
+        query = dialect.translate(text, self.integer_columns(text) if "/" in text else set(), self.resolves)
         while True:  # divisions of divisions are known to be of integers once the inner ones are
             log.debug("%s", query)
             df = self._planned(query, args)

@@ -54,6 +54,22 @@ def test_quantified(engine):
     assert rows(engine.sql("select name from goods where kind = any (select kind from goods where price = 12)")) == [("map",)]
 
 
+@pytest.mark.parametrize("word", ["all", "any"])
+def test_extremes_decide_as_rows_do(engine, spark, word):
+    for inner in ("kind = 10", "kind = 20", "price is null", "id < 0", "id = 2"):
+        for op in ("<", "<=", ">", ">=", "=", "<>"):
+            text = f"select id, price {op} {word} (select price from goods where {inner}) as c from goods order by id"
+            assert rows(spark.sql(dialect.translate(text, alone=lambda q: True))) == rows(spark.sql(dialect.translate(text))), text
+
+
+def test_quantified_plans(engine):
+    plan = lambda text: engine.sql(text)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan("select id from goods where price > all (select price from goods where kind = 10)")
+    assert rows(engine.sql("select id from goods g where price >= all (select h.price from goods h where h.kind = g.kind and h.price is not null) order by id")) == [(2,), (3,), (5,)]
+    assert rows(engine.sql("with w as (select 8 as v) select id from goods where price < any (select v from w) order by id")) == [(1,), (3,)]
+    assert rows(engine.sql("select id from goods where price < any (select price from goods where id = $1) order by id", [2])) == [(1,), (3,)]
+
+
 def test_null_order(engine):
     assert [r[0] for r in rows(engine.sql("select price from goods order by price"))] == [5, 7, 9, 12, None]
     assert [r[0] for r in rows(engine.sql("select price from goods order by price desc limit 2"))] == [None, 12]
