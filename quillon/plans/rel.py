@@ -5,6 +5,7 @@ Every method is lazy and declares what is wanted; Catalyst picks the physical pl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,8 +86,10 @@ class Rel:
         return self.sort(*keys).limit(n)
 
     def tmp(self) -> Rel:
-        """Kept for several consumers, spilled to disk where memory is short."""
-        return Rel(self.df.persist())
+        """Worked out once for several consumers: written below the shared folder and read again, so no executor's loss costs it."""
+        path = f"{tables.work_dir(self.df.sparkSession)}/tmp-{uuid.uuid4().hex}"
+        tables.write(self.df, path)
+        return Rel(self.df.sparkSession.read.schema(self.df.schema).parquet(path))
 
     # two inputs
 

@@ -58,6 +58,7 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorife
     df.write.mode(mode).format(kind).partitionBy(*partition_by).options(**options).save(path)
 
 
-def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, mode: str = "errorifexists") -> None:
-    """A table bucketed and sorted by keys: joins and groupings on them need no exchange."""
-    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, mode: str = "errorifexists", path: str | None = None) -> None:
+    """A table bucketed and sorted by keys: joins and groupings on them need no exchange. path: its folder, else the warehouse's."""
+    writer = df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

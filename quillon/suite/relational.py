@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ def _(t):
 
 @rel("s13_tmp", "with m as (select o_custkey, max(o_orderkey) as k from orders group by o_custkey) select a.o_custkey, a.k from m a join m b on a.k = b.k")
 def _(t):
-    m = t("orders").aggregate(["o_custkey"], k="max(o_orderkey)")  # used twice: one exchange, reused
+    m = t("orders").aggregate(["o_custkey"], k="max(o_orderkey)").tmp()  # worked out once, read twice
     return m.join(m.project(k="k"), ["k"]).project("o_custkey", "k")
 
 
@@ -159,6 +160,11 @@ def _(t):
     return Rel(t("customer").df.repartition(4)).aggregate(n="count(*)")
 
 
+@rel("p10_column_access", "select o_custkey as k, o_custkey as again, o_orderkey + o_custkey as s, o_orderkey > o_custkey as g from orders")
+def _(t):
+    return t("orders").project(k="o_custkey", again=F.col("o_custkey"), s=F.col("o_orderkey") + F.col("o_custkey"), g="o_orderkey > o_custkey")
+
+
 # 2.3 joins
 
 NULLABLE = "nullif(n_regionkey, 3)"
@@ -262,6 +268,12 @@ def _(t):
     return Rel(a.join(b, joins.null_safe(a, b, ["k"]))).project("x", "y")
 
 
+@rel("j19_hash_join_core", "select o_orderkey, l_linenumber, o_orderstatus from orders join lineitem on o_orderkey = l_orderkey and nullif(o_orderstatus, 'P') = l_linestatus")
+def _(t):
+    built = t("orders").project("o_orderkey", "o_orderstatus", l_orderkey="o_orderkey", l_linestatus="nullif(o_orderstatus, 'P')").df.hint("shuffle_hash")  # null keys meet nothing
+    return t("lineitem").join(Rel(built), ["l_orderkey", "l_linestatus"]).project("o_orderkey", "l_linenumber", "o_orderstatus")
+
+
 @rel("j20_multi_way", "select n_name, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name")
 def _(t):
     joined = t("lineitem").join(t("orders"), "l_orderkey = o_orderkey").join(t("customer"), "o_custkey = c_custkey").join(t("nation"), "c_nationkey = n_nationkey")
@@ -361,6 +373,22 @@ def _(t):
     return t("lineitem").df.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@rel("a18_unknown_aggregate", "select * from (values ('count', true), ('no_such_aggregate', false)) v(name, known)")
+def _(t):
+    """An aggregate that does not exist is an error, and never another one in its place."""
+    engine = Engine(t.spark).load(t.sf_dir, ["region"])
+
+    def known(name: str) -> bool:
+        try:
+            return bool(engine.sql(f"select {name}(r_regionkey) as n from region").columns)
+        except AnalysisException as e:
+            if e.getCondition() != "UNRESOLVED_ROUTINE":
+                raise
+            return False
+
+    return Rel.values(t.spark, "name string, known boolean", [(name, known(name)) for name in ("count", "no_such_aggregate")])
+
+
 # 2.6 order, limit
 
 
@@ -374,6 +402,12 @@ def _(t):
     return t("orders", "o_custkey", "o_orderkey").sort("o_custkey", "o_orderkey")
 
 
+@rel("o3_sort_many_keys", "select l_orderkey, l_linenumber, l_returnflag, l_extendedprice, l_shipdate from lineitem order by l_returnflag desc, l_shipdate, l_extendedprice desc, l_orderkey, l_linenumber")
+def _(t):
+    columns = t("lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_shipdate")
+    return columns.sort(("l_returnflag", "desc"), "l_shipdate", ("l_extendedprice", "desc"), "l_orderkey", "l_linenumber")  # exchanged by ranges, spilled where memory is short
+
+
 sql("o4_nulls_last_then_first", "select n_nationkey, nullif(n_regionkey, 2) as r from nation order by r desc, n_nationkey", "select n_nationkey, nullif(n_regionkey, 2) as r from nation order by r desc nulls first, n_nationkey")
 sql("o4_asc_nulls_last", "select n_nationkey, nullif(n_regionkey, 0) as r from nation order by r, n_nationkey", "select n_nationkey, nullif(n_regionkey, 0) as r from nation order by r asc nulls last, n_nationkey")
 
@@ -428,6 +462,13 @@ sql("q6_any", "select s_suppkey from supplier where s_acctbal < any (select c_ac
 sql("q6_any_array", "select s_suppkey from supplier where s_nationkey = any (array[1, 5, 7])", "select s_suppkey from supplier where s_nationkey in (1, 5, 7)")
 sql("q7_nested_from", "select z.k, z.n from (select y.k, count(*) as n from (select o_custkey % 10 as k from orders where o_orderstatus = 'F') y group by y.k) z where z.n > (select avg(w.c) from (select count(*) as c from orders group by o_custkey % 50) w)")
 sql("q8_with", "with a as (select c_nationkey as k, count(*) as n from customer group by c_nationkey), b as (select max(n) as m from a) select a.k, a.n from a, b where a.n = b.m")
+sql("q9_exists_in_scalar", "select n_nationkey, (select max(c_acctbal) from customer where c_nationkey = n_nationkey) as m from nation where (exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > 5000) or n_regionkey in (select r_regionkey from region where r_name = 'ASIA')) and not n_regionkey in (select r_regionkey from region where r_name = 'EUROPE')")
+
+
+@rel("q9_list", "select r_name, n_nations, n_nations = 5 as full_house from (select r_regionkey, r_name, count(n_nationkey) as n_nations from region left join nation on n_regionkey = r_regionkey and n_nationkey <> 7 group by r_regionkey, r_name) x")
+def _(t):
+    listed = t("region").collection_join(t("nation").where("n_nationkey <> 7").rename(r_regionkey="n_regionkey"), ["r_regionkey"], "x", ["n_nationkey"])
+    return listed.project("r_name", n_nations="cast(size(x) as bigint)", full_house="size(x) = 5")
 
 
 # textual plans

@@ -24,6 +24,11 @@ def _(t):
 
 sql("e2_integer_division_sql", "select p_partkey, (p_size - 25) / 4 as q, p_partkey / p_size as r, p_retailprice / 2 as f from part", "select p_partkey, cast((p_size - 25) // 4 as bigint) as q, p_partkey // p_size as r, p_retailprice / 2 as f from part")
 
+sql("e2_integer_division_alias", "select x.k / 2 as q from (select n_nationkey as k from nation) x", "select cast(x.k // 2 as bigint) as q from (select n_nationkey as k from nation) x")
+sql("e2_integer_division_cte", "with a as (select o_custkey as k, count(*) as n from orders group by o_custkey) select k, n / 2 as q, n / 2 / 3 as r from a", "with a as (select o_custkey as k, count(*) as n from orders group by o_custkey) select k, n // 2 as q, n // 2 // 3 as r from a")
+sql("e2_integer_division_cast", "select cast(p_retailprice as int) / 7 as q, p_size::float8 / 4 as f from part", "select cast(cast(trunc(p_retailprice) as integer) // 7 as bigint) as q, p_size / cast(4 as double) as f from part")
+sql("e2_integer_division_extract", "select o_orderkey, extract(year from o_orderdate) / 100 as c from orders", "select o_orderkey, extract(year from o_orderdate) // 100 as c from orders")
+
 
 @rel("e3_float_division", "select l_orderkey, l_linenumber, l_extendedprice / l_quantity as u from lineitem")
 def _(t):
@@ -86,6 +91,7 @@ def _(t):
     return t("region").project(b="true", i2="2S - 1S", i4="2", i8="3L", f4="1.5F", f8="2.5D", d="cast(1.25 as decimal(5,2))", dt="date '2024-02-29'", ts="timestamp_ntz '2024-02-29 01:02:03'", s="'x'", n="cast(null as int)")
 
 
+sql("e20_column_references", "select n.n_nationkey as k, n.n_name::varchar(30)::text as s, r.* from nation as n, region as r where n.n_regionkey = r.r_regionkey and n.n_name::varchar(30) <> 'NATION_3'", "select n.n_nationkey as k, n.n_name as s, r.* from nation as n, region as r where n.n_regionkey = r.r_regionkey and n.n_name <> 'NATION_3'")
 sql("e21_unary_minus", "select -p_size as m, -p_retailprice as d, +p_partkey as p from part")
 
 
@@ -98,9 +104,17 @@ def _(t):
     return e.sql("execute big(300000, 700)")
 
 
+@rel("e22_parameters_reused", "select o_orderkey, o_custkey + 5 as k from orders where o_totalprice > 200000 and o_custkey > 5")
+def _(t):
+    from quillon.session import Engine
+
+    return Engine(t.spark, t.sf_dir).sql("select o_orderkey, o_custkey + $2 as k from orders where o_totalprice > $1 and o_custkey > $2", [200000, 5])
+
+
 # 2.10 functions and casts
 
 sql("f1_abs", "select abs(p_size - 25) as i, abs(p_retailprice - 1200) as d, abs(cast(p_size - 25 as decimal(6,2))) as n from part")
+sql("f2_abs_numeric", "select c_custkey, abs(cast(c_acctbal as decimal(12,2)) - 4000.5) as a from customer where abs(cast(c_acctbal as decimal(12,2))) < 5000.25")
 sql("f3_upper_lower", "select upper(p_name) as u, lower(p_brand) as l from part")
 sql("f4_substring", "select substring(p_name, 2, 3) as a, substring(p_name from 3 for 2) as b, substr(p_name, 4) as d from part")
 
@@ -116,6 +130,7 @@ def _(t):
 
 
 sql("f5_date_part", "select count(*) as n from orders where date_part('year', o_orderdate) = 1997 and extract(month from o_orderdate) < 4")
+sql("f6_constant_extracts", "select extract(year from o_orderdate) as y, extract(month from o_orderdate) as m, extract(day from o_orderdate) as d, count(*) as n from orders where extract(day from o_orderdate) <= 15 group by extract(year from o_orderdate), extract(month from o_orderdate), extract(day from o_orderdate)", "select cast(extract(year from o_orderdate) as integer) as y, cast(extract(month from o_orderdate) as integer) as m, cast(extract(day from o_orderdate) as integer) as d, count(*) as n from orders where extract(day from o_orderdate) <= 15 group by 1, 2, 3")
 sql("f7_numeric_cast", "select o_totalprice::numeric(12,1) as a, o_custkey::numeric(10,2) as b from orders")
 sql("f8_text_casts", "select o_orderkey::text as a, cast(o_orderstatus as varchar(10)) as b, o_orderpriority::char(20) as d, o_custkey::bpchar as e from orders", "select cast(o_orderkey as varchar) as a, o_orderstatus as b, o_orderpriority as d, cast(o_custkey as varchar) as e from orders")
 sql("f9_number_casts", "select p_partkey::int4 as a, p_size::int8 as b, p_size::float4 as d, p_partkey::float8 as e, p_size::int2 as f from part")
@@ -136,11 +151,17 @@ def _(t):
     return t("orders").project(a="date_add(cast(o_orderdate as date), 10)", b="date_sub(cast(o_orderdate as date), 10)")
 
 
+sql("f14_like_and_concat", "select p_partkey, p_name like '%' || substring(p_brand, 7, 1) || '%' as a, p_name like 'b' || '%' as b, p_brand || ' ' || p_type || nullif(p_name, p_name) as c from part")
 sql("f15_starts_ends", "select p_partkey, p_name like 'b%' as a, p_name like '%d' as b, p_name like '%lu%' as d from part")
 sql("f16_length_trim", "select cast(length(p_name) as bigint) as n, trim('  ' || p_brand || ' ') as t, ltrim('  ' || p_brand) as l, rtrim(p_brand || '  ') as r, concat(p_brand, '/', p_type) as k from part")
 sql("f16_ilike", "select p_partkey from part where p_type ilike 'promo%' or p_name ~~* '%RED%'", "select p_partkey from part where p_type ilike 'promo%' or p_name ilike '%RED%'")
 
 
+@rel("f17_dump_values", "select cast(n_nationkey as varchar) || '|' || n_name || '|' || coalesce(cast(nullif(n_regionkey, 3) as varchar), 'NULL') as line from nation")
+def _(t):
+    return t("nation").project(line=F.to_csv(F.struct("n_nationkey", "n_name", F.expr("nullif(n_regionkey, 3)")), {"sep": "|", "nullValue": "NULL"}))
+
+
 @rel("f18_hash_groups", "select count(*) as n from (select distinct o_custkey, o_orderstatus from orders)")
 def _(t):
     return t("orders").project(h="xxhash64(o_custkey, o_orderstatus)").distinct().aggregate(n="count(*)")
