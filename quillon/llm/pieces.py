@@ -36,6 +36,10 @@ UNKNOWN_PENALTY = 10.0
 CHARS = 1 << 24
 #: Places of the table of pairs that were worked out.
 PAIR_BITS = 21
+#: Characters that advance together.
+BATCH = 100_000
+#: Longer words of BPE models are cut into stretches of so many characters, with the same ids.
+LONG, STRETCH = 2048, 512
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -158,10 +162,11 @@ class Model:
             self.pair_keys[place], self.pair_apart[place] = found[first], apart[first]
         return out
 
-    def solve(self, words: list[str]) -> list[bytes]:
-        """The ids of words that all have one length, as little-endian int32."""
-        n, size = len(words), len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size)
+    def advance(self, chars: np.ndarray, settled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of characters: the piece that ends at each place of each row, and its length.
+
+        settled: the pieces known to end at the first places, from place 0 on."""
+        n, size = chars.shape
         reach = min(self.longest, size)
         ids = np.full((reach + 1, n, size), -1, np.int64)  # [length, word, end - 1]
         for k, (keys, pieces) in self.keys.items():
@@ -174,8 +179,12 @@ class Model:
         best = np.zeros((n, size + 1), np.float32)
         last = np.full((n, size + 1), CHARS - 1, np.int64)
         back = np.zeros((n, size + 1), np.int32)
+        first = 1
+        if settled is not None:
+            first = settled.shape[1]
+            last[:, :first] = settled
         rows = np.arange(n)
-        for end in range(1, size + 1):
+        for end in range(first, size + 1):
             span = np.arange(min(reach, end), 0, -1)  # the longest first: of equals it wins
             some = ids[span, :, end - 1].T
             if bpe:
@@ -187,6 +196,45 @@ class Model:
                 worth = np.where(some >= 0, best[:, end - span] + own, -np.inf)
             pick = worth.argmax(1)
             best[:, end], last[:, end], back[:, end] = worth[rows, pick], some[rows, pick], span[pick]
+        return last, back
+
+    def solve_long(self, word: str) -> bytes:
+        """The ids of one long word of a BPE model, in stretches that advance together.
+
+        Each stretch begins some characters early, as if a word began there. What ends at a place depends on
+        the `longest` places before it alone, so where these come out as the stretch before has them, so does
+        all that follows; a stretch in which they do not is gone through again from them."""
+        chars = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        size, reach, early = len(chars), self.longest, 4 * self.longest
+        last, back = np.empty(size + 1, np.int64), np.empty(size + 1, np.int32)
+        last[: STRETCH + 1], back[: STRETCH + 1] = (x[0] for x in self.advance(chars[None, :STRETCH]))
+        begins = list(range(STRETCH, size, STRETCH))
+        step = max(1, BATCH // (STRETCH + early))
+        for group in (begins[at : at + step] for at in range(0, len(begins), step)):
+            whole = [b for b in group if b + STRETCH <= size]
+            made = {}
+            if whole:
+                made = dict(zip(whole, zip(*self.advance(np.stack([chars[b - early : b + STRETCH] for b in whole])))))
+            for b in group:
+                end = min(b + STRETCH, size)
+                ends, spans = made[b] if b in made else (x[0] for x in self.advance(chars[None, b - early : end]))
+                if not np.array_equal(ends[early - reach + 1 : early + 1], last[b - reach + 1 : b + 1]):
+                    ends, spans = (x[0] for x in self.advance(chars[None, b - reach : end], last[None, b - reach : b + 1]))
+                last[b + 1 : end + 1], back[b + 1 : end + 1] = ends[b - end :], spans[b - end :]
+        ends, at = np.zeros(size + 1, bool), size
+        while at > 0:
+            ends[at] = True
+            at -= int(back[at])
+        path = last[ends]
+        return self.written(path.tolist()) if (path >= CHARS).any() else path.astype("<i4").tobytes()
+
+    def solve(self, words: list[str]) -> list[bytes]:
+        """The ids of words that all have one length, as little-endian int32."""
+        n, size = len(words), len(words[0])
+        if self.kind == BPE and size > LONG and 4 * self.longest <= STRETCH:
+            return [self.solve_long(w) for w in words]
+        last, back = self.advance(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size))
+        rows = np.arange(n)
         path, used = np.zeros((n, size), np.int64), np.zeros((n, size), bool)
         at, going = np.full(n, size), rows
         for k in range(size - 1, -1, -1):
@@ -231,7 +279,7 @@ class Model:
         for w in missing:
             by.setdefault(len(w), []).append(w)
         for size, words in by.items():
-            step = max(1, 100_000 // size)
+            step = max(1, BATCH // size)
             for at in range(0, len(words), step):
                 part = words[at : at + step]
                 self.cache.update(zip(part, self.solve(part)))
@@ -277,7 +325,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     round_trip: decoding gives the text again (a U+2581 in it comes back as a space, as in the library).
     ids_sha256: of the ids as little-endian int32. Null and empty texts have no ids, and round_trip is true.
-    Repeated rows are encoded each; texts of any length are encoded whole; columns not named do not matter."""
+    Repeated rows are encoded each; texts of any length are encoded whole; columns not named do not matter.
+    Ways of equal score (unigram models) go by the longest last piece. An empty table gives no rows."""
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = some.schema["doc_id"].dataType.simpleString()
     shared = some.sparkSession.sparkContext.broadcast(model)

@@ -50,6 +50,19 @@ def test_bpe_equals_the_library(spark):
     assert [model.decode(g) for g in got] == [t.replace("▁", " ") for t in texts]
 
 
+def test_long_words_equal_the_library_and_one_pass(spark, monkeypatch):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    data = pieces.read_model(PATH)
+    rng = np.random.default_rng(11)
+    prose = "".join(r.text for r in table(spark, "/root/testdata/sf0.001", "documents").where("text IS NOT NULL").limit(40).select("text").collect()).replace("\n", "").replace(" ", "")
+    letters = lambda of, n: "".join(rng.choice(list(of), n))
+    texts = [prose[:30_000], "a" * 5001, "ab" * 3000, "-=" * 2048 + "-" * 4000, letters("abcdefghijklmnopqrstuvwxyz", 9000), letters("aAbB01+/", 7777), letters("日本語の文字列é😀x", 6000), letters("ton", 2049), "x" * 2048 + letters("er", 513)]
+    want = [ids(x) for x in pieces.Model(data).encode(texts)]
+    assert want == lib.encode(texts)
+    monkeypatch.setattr(pieces, "LONG", 10**9)
+    assert [ids(x) for x in pieces.Model(data).encode(texts[3:6])] == want[3:6]
+
+
 def test_unigram_equals_brute_force_and_the_library():
     rng = np.random.default_rng(3)
     parts = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab", "bb", "▁bca", "aa"]
