@@ -36,6 +36,8 @@ UNKNOWN_PENALTY = 10.0
 CHARS = 1 << 24
 #: Places of the table of pairs that were worked out.
 PAIR_BITS = 21
+#: Bits by which hashes that are no piece's are told before the search.
+FIRST_BITS = 18
 #: Characters that advance together.
 BATCH = 100_000
 #: Longer words of BPE models are cut into stretches of so many characters, with the same ids.
@@ -108,17 +110,19 @@ class Model:
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types)]
 
     def _sort_keys(self) -> None:
-        """For each length the pieces' hashes in order, with their ids."""
+        """For each length the pieces' hashes in order, their ids, and which first bits of hashes occur, so that few others are searched for."""
         by: dict[int, list[int]] = {}
         for p, i in self.ids.items():
             by.setdefault(len(p), []).append(i)
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, ids in by.items():
             rows = np.frombuffer("".join(self.pieces[i] for i in ids).encode("utf-32-le"), np.uint32).reshape(len(ids), n)
             h = substring_hashes(rows, n)[:, 0]
             order = np.argsort(h)
             assert len(np.unique(h)) == len(h), "two pieces have one hash"
-            self.keys[n] = h[order], np.array(ids, np.int64)[order]
+            begin = np.zeros(1 << FIRST_BITS, bool)
+            begin[h >> np.uint64(64 - FIRST_BITS)] = True
+            self.keys[n] = h[order], np.array(ids, np.int64)[order], begin
         self.score = np.array(self.scores, np.float32)
 
     def name(self, i: int) -> str:
@@ -169,11 +173,13 @@ class Model:
         n, size = chars.shape
         reach = min(self.longest, size)
         ids = np.full((reach + 1, n, size), -1, np.int64)  # [length, word, end - 1]
-        for k, (keys, pieces) in self.keys.items():
+        for k, (keys, pieces, begin) in self.keys.items():
             if k <= reach:
                 h = substring_hashes(chars, k)
+                some = begin[h >> np.uint64(64 - FIRST_BITS)]
+                h = h[some]
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                ids[k][:, k - 1 :] = np.where(keys[at] == h, pieces[at], -1)
+                ids[k][:, k - 1 :][some] = np.where(keys[at] == h, pieces[at], -1)
         ids[1] = np.where(ids[1] < 0, chars.astype(np.int64) + CHARS, ids[1])
         bpe = self.kind == BPE
         best = np.zeros((n, size + 1), np.float32)
