@@ -4,8 +4,12 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillon import registry
+from quillon.plans.rel import Rel
 from quillon.session import Engine
+from quillon.suite import tpch
 
 
 @pytest.fixture
@@ -102,3 +106,27 @@ def test_with_used_twice_and_or_of_ands(run):
 def test_years_and_intervals(run):
     assert run("select extract(year from placed) as y, count(*) from orders group by extract(year from placed) order by y desc", **GIVEN) == [(1996, 2), (1995, 2)]
     assert run("select o from orders where placed + interval '1 year' > date '1996-12-31' order by o", **GIVEN) == [(1,), (2,)]
+
+
+def test_temporaries_are_written_once_and_read_again(spark):
+    drawn = Rel(spark.range(100).withColumn("r", F.rand())).tmp()
+    assert drawn.df.collect() == drawn.df.collect() and drawn.df.count() == 100
+    assert "rand(" not in drawn.df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    empty = Rel(spark.range(0).withColumn("s", F.lit("x"))).tmp()
+    assert empty.df.columns == ["id", "s"] and empty.df.collect() == []
+
+
+def test_partsupp_is_written_once_and_joined_without_an_exchange(spark):
+    engine = tpch.engine(spark, "/root/testdata/sf0.001", "t_partsupp")
+    before = [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+    tpch.engine(spark, "/root/testdata/sf0.001", "t_partsupp")
+    assert [t.name for t in spark.catalog.listTables() if not t.isTemporary] == before
+    pairs = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
+    assert engine.table("t_partsupp").count() == pairs
+    assert "Exchange" not in engine.explain("select ps_partkey, count(*) as n from t_partsupp group by ps_partkey")
+
+
+def test_order_by_many_keys(spark):
+    got = registry.queries()["o3_sort_many_keys"](spark, "/root/testdata/sf0.001").collect()
+    want = sorted(got, key=lambda r: (-ord(r.l_returnflag), r.l_shipdate, -r.l_extendedprice, r.l_orderkey, r.l_linenumber))
+    assert got == want and len(got) > 5000
